@@ -49,19 +49,10 @@ def all_finite(columns) -> Column:
     return reduce(lambda a, b: a & b, [finite(c).isNotNull() for c in columns])
 
 
-def _mix_step(h: Column) -> Column:
-    h = h.bitwiseXOR(F.shiftright(h, 16))
-    return F.pmod(h * F.lit(73244475), F.lit(4294967296))
-
-
 def mix32(*keys, seed: int = 0) -> Column:
-    """A 32-bit integer hash of integer keys, written in plain integer arithmetic so that any engine repeats it."""
-    h = F.lit(int(seed) % 4294967296).cast("bigint")
-    for k in keys:
-        h = F.pmod(h * F.lit(31) + col(k).cast("bigint") + F.lit(2654435769), F.lit(4294967296))
-        h = _mix_step(_mix_step(h))
-        h = h.bitwiseXOR(F.shiftright(h, 16))
-    return h
+    """A 32-bit hash of integer keys: the first eight hex digits of an md5, which any engine repeats."""
+    text = F.concat_ws("|", F.lit(str(int(seed))), *[col(k).cast("bigint").cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 
 def uniform(*keys, seed: int = 0) -> Column:

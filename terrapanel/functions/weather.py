@@ -127,36 +127,6 @@ def net_radiation(rs_j, rl_j, t, albedo: float = 0.15, emissivity: float = 0.97)
     return col(rs_j) / 1.0e6 * (1.0 - albedo) + col(rl_j) / 1.0e6 - emitted
 
 
-def slope_beam_ratio(lat_deg, slope_deg, aspect_deg, doy, steps: int = 288, tau: float = 0.75) -> Column:
-    """Clear-sky beam energy on a slope over that on flat ground, summed over ``steps`` hour angles.
-
-    The day is folded inside the row (no rows are exploded): each step adds a pair (slope, flat).
-    Null when the sun does not rise or never climbs above the 0.02 cosine cut.
-    """
-    lat, b, asp = F.radians(col(lat_deg)), F.radians(col(slope_deg)), F.radians(col(aspect_deg))
-    dec, ws = declination(doy), sunset_angle(lat_deg, doy)
-
-    def step(acc, i):
-        h = ws * (i.cast("double") * (2.0 / (steps - 1)) - 1.0)
-        cz = clip(F.sin(lat) * F.sin(dec) + F.cos(lat) * F.cos(dec) * F.cos(h), -1.0, 1.0)
-        sz = F.sqrt(F.greatest(F.lit(1.0) - cz * cz, F.lit(1e-12)))
-        az = F.acos(clip((F.sin(dec) - cz * F.sin(lat)) / (sz * F.cos(lat)), -1.0, 1.0))
-        az = F.when(h > 0, F.lit(2.0 * math.pi) - az).otherwise(az)
-        zen = F.acos(cz)
-        ci = F.cos(b) * F.cos(zen) + F.sin(b) * F.sin(zen) * F.cos(az - asp)
-        up = F.cos(zen) > 0.02
-        beam = F.pow(F.lit(tau), F.lit(1.0) / F.greatest(F.cos(zen), F.lit(0.02)))
-        return F.struct(
-            (acc.getField("s") + F.when(up, beam * F.greatest(ci, F.lit(0.0))).otherwise(0.0)).alias("s"),
-            (acc.getField("f") + F.when(up, beam * F.cos(zen)).otherwise(0.0)).alias("f"),
-        )
-
-    start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("f"))
-    total = F.aggregate(F.sequence(F.lit(0), F.lit(steps - 1)), start, step)
-    out = total.getField("s") / F.nullif(total.getField("f"), F.lit(0.0))
-    return F.when(ws > 1e-6, out)
-
-
 def sky_view_slope(slope_deg) -> Column:
     """Isotropic sky view of an open planar slope."""
     return (F.cos(F.radians(col(slope_deg))) + 1.0) * 0.5

@@ -35,14 +35,40 @@ def derive_weather(node_day: DataFrame, node: DataFrame, month_params: DataFrame
 
 
 def derive_radiation(node_day: DataFrame, node: DataFrame) -> DataFrame:
-    """Extraterrestrial terms and the slope ratio of each node and day."""
+    """Extraterrestrial terms and the sky view of each node and day."""
     d = node_day.select("node", "doy").join(node.select("node", "lat", "slope", "aspect"), "node")
     return d.select("node", "doy", X.declination("doy").alias("declination"), X.inverse_distance("doy").alias("dr"),
                     X.sunset_angle("lat", "doy").alias("sunset"), X.extraterrestrial("lat", "doy").alias("ra"),
-                    X.slope_beam_ratio("lat", "slope", "aspect", "doy").alias("slope_ratio"),
                     X.sky_view_slope("slope").alias("sky_view"))
 
 
+def slope_ratio(node_day: DataFrame, node: DataFrame, steps: int = 288, tau: float = 0.75) -> DataFrame:
+    """Daily beam energy on the slope over that on flat ground; null when the sun does not rise.
+
+    One row per hour angle, summed again before any shuffle (each day's steps are made and combined in one task).
+    The steps keep to generated code, which a fold over an array inside the row would not.
+    """
+    n = node.select("node", *[F.radians(c).alias(a) for c, a in (("lat", "_lat"), ("slope", "_b"), ("aspect", "_asp"))], "lat")
+    d = node_day.select("node", "doy").join(n, "node")
+    d = d.select("node", "doy", "_b", "_asp", X.sunset_angle("lat", "doy").alias("_ws"), F.sin("_lat").alias("_sl"), F.cos("_lat").alias("_cl"),
+                 F.sin(X.declination("doy")).alias("_sd"), F.cos(X.declination("doy")).alias("_cd"))
+    d = d.select("*", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("_i"))
+    # each stage is a column of its own, so no expression is repeated inside the next one
+    d = d.withColumn("_h", F.col("_ws") * (F.col("_i").cast("double") * (2.0 / (steps - 1)) - 1.0))
+    d = d.withColumn("_raw", F.col("_sl") * F.col("_sd") + F.col("_cl") * F.col("_cd") * F.cos("_h"))
+    d = d.withColumn("_cz", F.least(F.greatest("_raw", F.lit(-1.0)), F.lit(1.0)))
+    d = d.withColumn("_sz", F.sqrt(F.greatest(F.lit(1.0) - F.col("_cz") * F.col("_cz"), F.lit(1e-12))))
+    d = d.withColumn("_ca", (F.col("_sd") - F.col("_cz") * F.col("_sl")) / (F.col("_sz") * F.col("_cl")))
+    d = d.withColumn("_az", F.acos(F.least(F.greatest("_ca", F.lit(-1.0)), F.lit(1.0))))
+    d = d.withColumn("_turn", F.cos(F.when(F.col("_h") > 0, -F.col("_az")).otherwise(F.col("_az")) - F.col("_asp")))
+    d = d.withColumn("_inc", F.cos("_b") * F.col("_cz") + F.sin("_b") * F.col("_sz") * F.col("_turn"))
+    d = d.withColumn("_beam", F.when(F.col("_cz") > 0.02, F.pow(F.lit(tau), F.lit(1.0) / F.greatest("_cz", F.lit(0.02)))).otherwise(0.0))
+    s = d.groupBy("node", "doy").agg(F.sum(F.col("_beam") * F.greatest("_inc", F.lit(0.0))).alias("_s"),
+                                     F.sum(F.col("_beam") * F.col("_cz")).alias("_f"), F.max("_ws").alias("_ws"))
+    ratio = F.col("_s") / F.nullif(F.col("_f"), F.lit(0.0))
+    return s.select("node", "doy", F.when(F.col("_ws") > 1e-6, ratio).alias("slope_ratio"))
+
+
 def derive_pet(weather: DataFrame, g=0.0, g_a: Column | None = None, g_c: Column | None = None,
                keep: tuple[str, ...] = ()) -> DataFrame:
     """Long table of potential evaporation: one row per (node, day, pet_name).

@@ -51,7 +51,7 @@ def rnd(df: DataFrame, places: int = 6, **special: int) -> DataFrame:
 
 def q6(expr: str, places: int = 6) -> str:
     """SQL text that rounds like ``rounded``."""
-    e = f"({expr})"
+    e = f"CAST({expr} AS DOUBLE)"
     return f"(CASE WHEN abs({e}) < {0.5 * 10.0 ** -places!r} THEN 0.0 ELSE round({e}, {places}) END)"
 
 
@@ -302,16 +302,8 @@ OCCURRENCES = ["""occ AS (SELECT p_partkey AS rec, p_type AS species,
 
 def mix_sql(*keys: str, seed: int = 0) -> str:
     """SQL text of the integer hash ``mix32``."""
-    def step(h):
-        x = f"xor({h}, ({h}) >> 16)"
-        return f"(({x}) * 73244475) % 4294967296"
-
-    h = f"CAST({int(seed) % 4294967296} AS BIGINT)"
-    for k in keys:
-        h = f"list_transform([(({h}) * 31 + CAST({k} AS BIGINT) + 2654435769) % 4294967296], lambda a: {step('a')})[1]"
-        h = f"list_transform([{h}], lambda a: {step('a')})[1]"
-        h = f"list_transform([{h}], lambda a: xor(a, a >> 16))[1]"
-    return h
+    text = f"concat_ws('|', '{int(seed)}', " + ", ".join(f"CAST({k} AS BIGINT)" for k in keys) + ")"
+    return f"CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT)"
 
 
 def uniform_sql(*keys: str, seed: int = 0) -> str:

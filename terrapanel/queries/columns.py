@@ -132,7 +132,7 @@ CI = "(cos(b) * cos(acos(cz)) + sin(b) * sin(acos(cz)) * cos(az - asp))"
 ], f"""SELECT node, {bi('doy')} AS doy, {q6(f'''sum(CASE WHEN cz > 0.02 THEN pow(0.75, 1.0 / greatest(cz, 0.02)) * greatest({CI}, 0.0) ELSE 0.0 END)
     / nullif(sum(CASE WHEN cz > 0.02 THEN pow(0.75, 1.0 / greatest(cz, 0.02)) * cz ELSE 0.0 END), 0.0)''', 5)} AS slope_ratio FROM a GROUP BY node, doy"""))
 def col_slope_ratio(spark, sf):
-    return rnd(D.derive_radiation(B.node_day(spark, sf), B.nodes(spark, sf)).select("node", "doy", "slope_ratio"), 5)
+    return rnd(D.slope_ratio(B.node_day(spark, sf), B.nodes(spark, sf)), 5)
 
 
 @query("col_sky_view", with_sql(NODE, f"""SELECT node, {q6('0.5 * (1.0 + cos(radians(slope)))')} AS planar,
@@ -314,8 +314,8 @@ _score("col_blend", {"h": lambda: E.blend("p", F.col("width") + 0.01, E.gate_wei
        {"h": icll(f"{GATE} * {cll('p')} + (1.0 - {GATE}) * {cll('width + 0.01')}")})
 _score("col_recalibrated", {"h": lambda: E.recalibrated("p", F.when(F.col("part") == "O", 0.2).otherwise(-0.1), F.when(F.col("part") == "O", 0.9).otherwise(1.1))},
        {"h": icll(f"(CASE WHEN part = 'O' THEN 0.2 ELSE -0.1 END) + (CASE WHEN part = 'O' THEN 0.9 ELSE 1.1 END) * {cll('p')}")})
-_score("col_misclass_corrected", {"h": lambda: E.misclassification_corrected("p", 0.85, 0.95)},
-       {"h": "least(greatest((p - (1.0 - 0.95)) / (0.85 + 0.95 - 1.0), 0.0), 1.0)"})
+_score("col_misclass_corrected", {"h": lambda: E.misclassification_corrected("p", 0.83, 0.96)},
+       {"h": "least(greatest((p - (1.0 - 0.96)) / (0.83 + 0.96 - 1.0), 0.0), 1.0)"})
 _score("col_rare_event_weight", {"w": lambda: E.rare_event_weight(F.col("y") == 1.0, 0.2)}, {"w": "CASE WHEN y = 1.0 THEN 1.0 ELSE 1.0 / 0.2 END"})
 _score("col_brackets", {"naw": lambda: F.col("pred") - F.col("obs"), "nab": lambda: F.col("obs"), "faw": lambda: F.col("pred") - F.col("width"), "fab": lambda: F.col("width")},
        {"naw": "pred - obs", "nab": "obs", "faw": "pred - width", "fab": "width"})
