@@ -245,9 +245,17 @@ def draws_sql(outer, inner):
         "draws AS (SELECT grp, outer_draw, inner_draw, vp AS p50, vs AS slope, greatest(hc, vp) AS psi_close, greatest(capacitance * (greatest(hc, vp) - (vp + ln((100.0 - lethal) / lethal) / (vs / 25.0))), 0.0) AS buffer FROM dr2)"]
 
 
-@query("src_draw_table", with_sql(draws_sql(50, 200), f"SELECT grp, CAST(outer_draw AS BIGINT) AS outer_draw, CAST(inner_draw AS BIGINT) AS inner_draw, {q6('p50')} AS p50, {q6('slope')} AS slope, {q6('psi_close')} AS psi_close, {q6('buffer', 3)} AS buffer FROM draws"))
+SUPS = ["nat AS (SELECT s_suppkey AS grp_id, s_name AS grp, -1.2 - (s_suppkey % 4) * 0.3 AS p50, CAST(40.0 + s_suppkey % 25 AS DOUBLE) AS slope, -0.9 AS psi_close, 9000.0 AS capacitance, 88.0 AS lethal, 0.3 AS p50_sd, 8.0 AS slope_sd FROM supplier)"]
+
+
+@query("src_draw_table", with_sql(SUPS + draws_sql(10, 20)[1:], f"SELECT grp, CAST(outer_draw AS BIGINT) AS outer_draw, CAST(inner_draw AS BIGINT) AS inner_draw, {q6('p50')} AS p50, {q6('slope')} AS slope, {q6('psi_close')} AS psi_close, {q6('buffer', 3)} AS buffer FROM draws"))
 def src_draw_table(spark, sf):
-    d = Dr.trait_draws(spark, nation_traits(spark, sf), {"p50": "p50_sd", "slope": "slope_sd"})
+    """Ten group draws of twenty individuals each, for every trait set."""
+    k = F.col("s_suppkey")
+    t = B.table(spark, sf, "supplier").select(
+        k.alias("grp_id"), F.col("s_name").alias("grp"), (F.lit(-1.2) - (k % 4) * 0.3).alias("p50"), (k % 25 + 40.0).alias("slope"),
+        F.lit(-0.9).alias("psi_close"), F.lit(9000.0).alias("capacitance"), F.lit(88.0).alias("lethal"), F.lit(0.3).alias("p50_sd"), F.lit(8.0).alias("slope_sd"))
+    d = Dr.trait_draws(spark, t, {"p50": "p50_sd", "slope": "slope_sd"}, outer=10, inner=20)
     return rnd(d.select("grp", "outer_draw", "inner_draw", "p50", "slope", "psi_close", "buffer"), 6, buffer=3)
 
 
