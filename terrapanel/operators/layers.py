@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from terrapanel.operators.order_stats import exact_quantiles
 from terrapanel.operators.spatial import idw, knn
+from terrapanel.tables import cut_lineage
 
 
 def fill_from_nearest(grid: DataFrame, value: str) -> DataFrame:
@@ -85,9 +86,9 @@ def variogram_range(bins: DataFrame, share: float = 0.95) -> DataFrame:
 
 def nn_distance_summary(train: DataFrame, target: DataFrame, train_id: str, target_id: str, fold: str) -> DataFrame:
     """Median distance from targets to training rows, and from test rows to the training rows of other folds."""
-    a = knn(train, target, 1, train_id, target_id)
+    a = cut_lineage(knn(train, target, 1, train_id, target_id).select("dist"))
     t = train.withColumnRenamed(train_id, "_t")
-    b = knn(train, t, 1, train_id, "_t", exclude=fold)
+    b = cut_lineage(knn(train, t, 1, train_id, "_t", exclude=fold).select("dist"))
     med = lambda d: exact_quantiles(d, "dist", [0.5]).agg(F.max("q")).scalar()
     one = train.limit(1).select(F.lit(1).alias("_"))
     return one.select(med(a).alias("target_to_train"), med(b).alias("cv_test_to_train"))

@@ -144,9 +144,9 @@ def agg_concavity(spark, sf):
     return rnd(R.concavity(B.raster(spark, sf).select("row", "col", "value")).select("row", "col", "concavity"))
 
 
-@query("agg_coarse_reference", with_sql(RG, f"""SELECT g."row", g."col", {q6('avg(n.value)')} AS z_ref FROM rg g JOIN rg n ON n."row" BETWEEN g."row" - 15 AND g."row" + 15 AND n."col" BETWEEN g."col" - 15 AND g."col" + 15 GROUP BY 1, 2"""))
+@query("agg_coarse_reference", with_sql(RG, f"""SELECT g."row", g."col", {q6('avg(n.value)', 9)} AS z_ref FROM rg g JOIN rg n ON n."row" BETWEEN g."row" - 15 AND g."row" + 15 AND n."col" BETWEEN g."col" - 15 AND g."col" + 15 GROUP BY 1, 2"""))
 def agg_coarse_reference(spark, sf):
-    return rnd(R.window_mean(gappy(spark, sf), 15, "z_ref").select("row", "col", "z_ref"))
+    return rnd(R.window_mean(gappy(spark, sf), 15, "z_ref").select("row", "col", "z_ref"), 9)
 
 
 GROUPS = {"broadleaf": [31], "oak": [32, 33, 34, 35], "pine": [36]}
@@ -181,13 +181,13 @@ def agg_mean_resample(spark, sf):
     return rnd(L.fill_from_nearest(b, "mean").select("row", "col", F.col("mean").alias("value")))
 
 
-@query("agg_zonal_land_shares", with_sql(B.RASTER + ["""cl AS (SELECT DISTINCT "row" // 7 AS i, "col" // 9 AS j FROM ras)"""], f"""SELECT i * 1000 + j AS cell, {q6("avg(n.open) FILTER (WHERE n.inside)")} AS open, {q6("coalesce(avg(CASE WHEN n.inside THEN 1.0 ELSE 0.0 END), 0.0)")} AS coverage
+@query("agg_zonal_land_shares", with_sql(B.RASTER + ["""cl AS (SELECT DISTINCT "row" // 7 AS i, "col" // 9 AS j FROM ras)"""], f"""SELECT i * 1000 + j AS cell, {q6("avg(n.open) FILTER (WHERE n.inside)", 9)} AS open, {q6("coalesce(avg(CASE WHEN n.inside THEN 1.0 ELSE 0.0 END), 0.0)", 9)} AS coverage
     FROM cl LEFT JOIN ras n ON n."row" BETWEEN i * 7 AND i * 7 + 8 AND n."col" BETWEEN j * 9 AND j * 9 + 11 GROUP BY 1"""))
 def agg_zonal_land_shares(spark, sf):
     r = B.raster(spark, sf)
     c = r.select(F.floor(F.col("row") / 7).alias("i"), F.floor(F.col("col") / 9).alias("j")).distinct()
     c = c.select((F.col("i") * 1000 + F.col("j")).alias("cell"), (F.col("i") * 7).alias("r0"), (F.col("i") * 7 + 8).alias("r1"), (F.col("j") * 9).alias("c0"), (F.col("j") * 9 + 11).alias("c1"))
-    return rnd(R.zonal_shares(c, r, ["open"], F.col("inside")))
+    return rnd(R.zonal_shares(c, r, ["open"], F.col("inside")), 9)
 
 
 @query("agg_zone_area", with_sql(B.RASTER, f"""SELECT class AS region, {q6('sum(pow(0.5 * cos(radians(41.4 - ("row" + 0.5) * 0.002)), 2))')} AS km2, count(*) AS n FROM ras WHERE inside GROUP BY 1"""))
