@@ -41,10 +41,10 @@ def agg_murphy(spark, sf):
     return rnd(S.murphy(B.scored(spark, sf)), 6, resolution=8)
 
 
-@query("agg_ece", with_sql(SC + ["ed AS (SELECT list_sort(list_distinct(quantile_cont(width, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1])))[2:-2] AS e FROM sc)"] + qb("width")[1:], f"SELECT {q6('sum(n * abs(pk - yk)) / sum(n)')} AS ece FROM qb"))
+@query("agg_ece", with_sql(SC + ["ed AS (SELECT list_sort(list_distinct(quantile_cont(width, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1])))[2:-2] AS e FROM sc)"] + qb("width")[1:], f"SELECT {q6('sum(n * abs(pk - yk)) / sum(n)', 8)} AS ece FROM qb"))
 def agg_ece(spark, sf):
     """Forecasts with eleven distinct values, so that quantile edges coincide."""
-    return rnd(S.calibration_error(B.scored(spark, sf), "width"))
+    return rnd(S.calibration_error(B.scored(spark, sf), "width"), 8)
 
 
 CUMQ = ["pv AS (SELECT {x} AS v, sum(y) AS pos, count(*) AS n FROM sc GROUP BY 1)",

@@ -24,6 +24,7 @@ def session(app: str = "terrapanel", master: str | None = None, **conf) -> Spark
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
     }
     for k, v in settings.items():
