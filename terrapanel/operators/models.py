@@ -452,7 +452,7 @@ def fit_variogram(bins: Sequence[tuple[float, float]]) -> dict:
     return {"nugget": float(nug), "sill": float(sill), "range": r, "practical_range": 3 * r, "r2": r2, "r2_linear": r2_lin, "plateau": bool(r2 - r2_lin >= 0.03)}
 
 
-def tree_models(train: DataFrame, features: Sequence[str], y: str, seed: int = 0, trees: int = 20, depth: int = 4) -> tuple:
+def tree_models(train: DataFrame, features: Sequence[str], y: str, seed: int = 0, trees: int = 8, depth: int = 3) -> tuple:
     """Gradient boosting and random forest classifiers on an assembled feature column."""
     from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
     d = assembled(train, features).withColumn("_label", F.col(y).cast("double"))

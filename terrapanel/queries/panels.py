@@ -10,6 +10,7 @@ from terrapanel.operators import windows as Wn
 from terrapanel.queries import base as B
 from terrapanel.queries import windows as QW
 from terrapanel.queries.base import q6, query, rnd, with_sql
+from terrapanel.tables import cut_lineage
 
 FIRST, LAST = 23960, 24010
 
@@ -37,13 +38,14 @@ PANEL = ADJ + B.PIXELS + B.NODE_MONTH + EV
 
 def panel(spark, sf):
     px, clim = B.pixels(spark, sf), B.node_month(spark, sf).withColumnRenamed("period", "year")
-    pm = B.pixel_month(spark, sf).withColumnRenamed("period", "year")
+    # the monthly table is far smaller than the line items and is read in several passes: written once
+    pm = cut_lineage(B.pixel_month(spark, sf).withColumnRenamed("period", "year"))
     return P.person_years(pm, px, clim, F.lit(FIRST), F.lit(LAST)).withColumnRenamed("year", "period")
 
 
 @query("agg_year_effect", with_sql(ADJ, f"SELECT pixel, period, {q6('adj')} AS adj FROM pa"))
 def agg_year_effect(spark, sf):
-    return rnd(P.remove_year_effect(B.pixel_month(spark, sf), "pixel", "period", "x", "adj").select("pixel", "period", "adj"))
+    return rnd(P.remove_year_effect(cut_lineage(B.pixel_month(spark, sf)), "pixel", "period", "x", "adj").select("pixel", "period", "adj"))
 
 
 COLS = ["event", "candidate", "at_risk", "candidate_at_risk", "event_adj", "candidate_adj", "at_risk_adj", "disturbed_recent"]
@@ -84,7 +86,7 @@ def agg_event_rate(spark, sf):
     f"""SELECT n_events, decline, rise, {q6('decline / nullif(rise, 0)')} AS decline_to_rise, CASE WHEN n_events < 30 THEN 'too_few_events_for_a_hazard_fit' WHEN decline / nullif(rise, 0) < 1.5 THEN 'events_not_distinguishable_from_noise' ELSE 'fit' END AS status FROM ct"""))
 def agg_panel_gate(spark, sf):
     e = panel(spark, sf).filter("at_risk").agg(F.count_if("event")).scalar()
-    c = P.onset_counts(B.pixel_month(spark, sf), F.lit(FIRST), F.lit(LAST), year="period").select(e.alias("n_events"), "decline", "rise")
+    c = P.onset_counts(cut_lineage(B.pixel_month(spark, sf)), F.lit(FIRST), F.lit(LAST), year="period").select(e.alias("n_events"), "decline", "rise")
     return rnd(P.panel_gate(c, 3))
 
 
@@ -95,13 +97,13 @@ BINS = ["ny AS (SELECT node, period, avg(z) AS z, max(cwd_anom) AS a FROM pan WH
 
 
 def anomalies(spark, sf):
-    d = M.climate_anomaly(panel(spark, sf), "node", "period", ["cwd", "vpd"])
+    d = M.climate_anomaly(cut_lineage(panel(spark, sf)), "node", "period", ["cwd", "vpd"])
     return d.filter(~F.col("disturbed_recent") & F.col("z").isNotNull())
 
 
 @query("agg_response_bins", with_sql(PANEL + ANOM + BINS, f"SELECT len(list_filter(e, lambda q: q <= a)) AS bin, {q6('avg(a)')} AS anomaly_mean, {q6('avg(z)')} AS z_mean, {q6('stddev_samp(z) / sqrt(count(*))')} AS z_se, count(*) AS n FROM ny, eg GROUP BY 1"))
 def agg_response_bins(spark, sf):
-    return rnd(P.response_bins(anomalies(spark, sf), "node", "period", "z", "cwd_anom"))
+    return rnd(P.response_bins(cut_lineage(anomalies(spark, sf).select("node", "period", "z", "cwd_anom")), "node", "period", "z", "cwd_anom"))
 
 
 __all__ = ["Wn"]
