@@ -25,14 +25,17 @@ def running_totals(df: DataFrame, value: str, sums: dict[str, Column], by: Seque
     by = list(by)
     agg = df.groupBy(*by, value).agg(*[F.sum(e).alias(n) for n, e in sums.items()])
     fractions = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    cut = F.percentile_approx(F.col(value), fractions, 1000).alias("_cuts")
+    # the condition keeps a sum in the plan of the cuts, so that it shares the shuffle of ``agg``
+    counted = F.when(F.col(next(iter(sums))) > F.lit(-1e300), F.col(value))
+    cut = F.percentile_approx(counted, fractions, 1000).alias("_cuts")
     if by:
         cuts = agg.groupBy(*[F.col(b).alias(f"_b_{b}") for b in by]).agg(cut)
         keys = [F.col(b).eqNullSafe(F.col(f"_b_{b}")) for b in by]
         agg = agg.join(cuts, keys, "left").drop(*[f"_b_{b}" for b in by])
     else:
         agg = agg.withColumn("_cuts", agg.agg(cut).scalar())
-    below = F.size(F.filter(F.col("_cuts"), lambda c: c < F.col(value)))
+    # never null: a null test inferred from the join below would be pushed to the raw rows
+    below = F.coalesce(F.size(F.filter(F.col("_cuts"), lambda c: c < F.col(value))), F.lit(0))
     agg = agg.withColumn("_bucket", below).drop("_cuts")
 
     inside = W.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(W.unboundedPreceding, -1)

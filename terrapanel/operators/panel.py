@@ -69,8 +69,8 @@ def onset_counts(pixel_year: DataFrame, first: Column, last: Column, pixel: str
     return per.agg(F.count_if("_d").alias("decline"), F.count_if("_r").alias("rise"), F.count(F.lit(1)).alias("n_full"))
 
 
-@F.pandas_udf("struct<lo double, hi double, zero_bound double>")
 def _rate_interval(k: pd.Series, n: pd.Series) -> pd.DataFrame:
+    """Limits for a few rows of counts."""
     rows = [(*event_rate_interval(int(a), int(b)), zero_event_bound(int(b))) for a, b in zip(k, n)]
     return pd.DataFrame(rows, columns=["lo", "hi", "zero_bound"])
 
@@ -78,7 +78,8 @@ def _rate_interval(k: pd.Series, n: pd.Series) -> pd.DataFrame:
 def event_rate(panel: DataFrame, event: str = "event", at_risk: str = "at_risk", by: Sequence[str] = ()) -> DataFrame:
     """Events, person-years, rate, exact interval and the bound for no events. The beta quantiles are taken on the counts."""
     d = panel.filter(F.col(at_risk)).groupBy(*by).agg(F.count_if(F.col(event)).alias("n_events"), F.count(F.lit(1)).alias("n_py"))
-    i = d.withColumn("_i", _rate_interval("n_events", "n_py"))
+    limits = F.pandas_udf(_rate_interval, "struct<lo double, hi double, zero_bound double>")
+    i = d.withColumn("_i", limits("n_events", "n_py"))
     return i.select(*by, "n_events", "n_py", (F.col("n_events") / F.col("n_py")).alias("rate"), F.col("_i.lo").alias("lo"), F.col("_i.hi").alias("hi"),
                     F.when(F.col("n_events") == 0, F.col("_i.zero_bound")).alias("zero_bound"))
 
