@@ -25,9 +25,7 @@ def running_totals(df: DataFrame, value: str, sums: dict[str, Column], by: Seque
     by = list(by)
     agg = df.groupBy(*by, value).agg(*[F.sum(e).alias(n) for n, e in sums.items()])
     fractions = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    # the condition keeps a sum in the plan of the cuts, so that it shares the shuffle of ``agg``
-    counted = F.when(F.col(next(iter(sums))) > F.lit(-1e300), F.col(value))
-    cut = F.percentile_approx(counted, fractions, 1000).alias("_cuts")
+    cut = F.percentile_approx(F.col(value), fractions, 1000).alias("_cuts")
     if by:
         cuts = agg.groupBy(*[F.col(b).alias(f"_b_{b}") for b in by]).agg(cut)
         keys = [F.col(b).eqNullSafe(F.col(f"_b_{b}")) for b in by]
@@ -50,6 +48,12 @@ def running_totals(df: DataFrame, value: str, sums: dict[str, Column], by: Seque
         *[F.coalesce(F.sum(f"_{n}_t").over(earlier), F.col(f"_{n}_t") * 0).alias(f"_{n}_o") for n in sums],
         *[F.sum(f"_{n}_t").over(whole).alias(f"{n}_all") for n in sums],
     )
+    if not by:
+        # at most ``buckets`` entries: looked up in the row, which also keeps the bucket expression out of a join condition
+        entries = F.map_from_entries(F.collect_list(F.struct("_bk", F.struct(*[c for c in offsets.columns if c != "_bk"]))))
+        agg = agg.withColumn("_o", offsets.agg(entries).scalar()).withColumn("_o", F.element_at("_o", F.col("_bucket")))
+        return agg.select(value, *sums, *[(F.col(f"_{n}_in") + F.col(f"_o._{n}_o")).alias(f"{n}_before") for n in sums],
+                          *[F.col(f"_o.{n}_all").alias(f"{n}_all") for n in sums])
     keys = [F.col("_bucket") == F.col("_bk")] + [F.col(b).eqNullSafe(F.col(f"_b_{b}")) for b in by]
     return agg.join(offsets, keys).select(
         *by, value, *sums,

@@ -1,0 +1 @@
+"""No streaming operators: the work to be matched has no streams."""
