@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrapanel.llm import bpe, langid, pii, topk, urls
+from terrapanel.llm import bpe, decontam, langid, pii, quality, topk, toxicity, urls
 from terrapanel.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,7 +34,20 @@ def op7_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_language_id, op3_exact_topk, op4_pii, op5_url_filter, op7_byte_bpe)}
+def op8_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.classify(table(spark, sf, "documents"))
+
+
+def op9_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return decontam.hits(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.predict(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op2_language_id, op3_exact_topk, op4_pii, op5_url_filter, op7_byte_bpe, op8_quality, op9_decontamination, op10_toxicity)}
 
 ORACLES: dict[str, str] = {
     "op3_exact_topk": """
