@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrapanel.llm import bpe, decontam, langid, pii, quality, topk, toxicity, urls
+from terrapanel.llm import bpe, decontam, langid, lines, pii, quality, topk, toxicity, urls
 from terrapanel.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,10 @@ def op5_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     return urls.judge(table(spark, sf, "pages"))
 
 
+def op6_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return lines.deduplicate(table(spark, sf, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -47,7 +51,7 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op2_language_id, op3_exact_topk, op4_pii, op5_url_filter, op7_byte_bpe, op8_quality, op9_decontamination, op10_toxicity)}
+    op2_language_id, op3_exact_topk, op4_pii, op5_url_filter, op6_line_dedup, op7_byte_bpe, op8_quality, op9_decontamination, op10_toxicity)}
 
 ORACLES: dict[str, str] = {
     "op3_exact_topk": """
