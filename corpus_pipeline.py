@@ -8,6 +8,10 @@ from terrapanel.llm import stages
 from terrapanel.llm.common import stored, table
 
 STAGES = [
+    ("quality", stages.good_quality),
+    ("line_dedup", stages.line_dedup),
+    ("near_dedup", stages.near_dedup),
+    ("decontamination", stages.decontamination),
     ("byte_bpe", stages.byte_bpe),
 ]
 

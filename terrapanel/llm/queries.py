@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrapanel.llm import bpe, decontam, langid, lines, pii, quality, topk, toxicity, urls
+from terrapanel.llm import bpe, decontam, langid, lines, neardup, pii, quality, topk, toxicity, urls
 from terrapanel.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.group(table(spark, sf, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return langid.identify(table(spark, sf, "documents"))
 
@@ -51,7 +55,8 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op2_language_id, op3_exact_topk, op4_pii, op5_url_filter, op6_line_dedup, op7_byte_bpe, op8_quality, op9_decontamination, op10_toxicity)}
+    op1_near_dedup, op2_language_id, op3_exact_topk, op4_pii, op5_url_filter, op6_line_dedup, op7_byte_bpe, op8_quality,
+    op9_decontamination, op10_toxicity)}
 
 ORACLES: dict[str, str] = {
     "op3_exact_topk": """

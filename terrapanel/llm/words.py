@@ -71,10 +71,10 @@ def shingles(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     inside = doc[: len(out)] == doc[width - 1 :]
     docs, count = np.unique(doc, return_counts=True)
     first = np.cumsum(count) - count
-    short = np.flatnonzero(count < width)
-    few = [(docs[i], first[i], count[i]) for i in short]
-    extra = np.zeros(len(few), np.uint64)
-    for i, (_, a, c) in enumerate(few):
-        for k in range(a, a + c):
-            extra[i] = extra[i] * _BASE + h[k] + np.uint64(7)
-    return np.r_[doc[: len(out)][inside], np.array([d for d, _, _ in few], doc.dtype)], mixed(np.r_[out[inside], extra])
+    short = count < width
+    docs, first, count = docs[short], first[short], count[short]
+    extra = np.zeros(len(docs), np.uint64)
+    for k in range(width - 1):
+        there = count > k
+        extra[there] = extra[there] * _BASE + h[first[there] + k] + np.uint64(7)
+    return np.r_[doc[: len(out)][inside], docs.astype(doc.dtype)], mixed(np.r_[out[inside], extra])
