@@ -64,8 +64,8 @@ def with_normal_quantile(df: DataFrame, p: str, out: str) -> DataFrame:
     return d.withColumn(out, value).drop("_nq_r", "_nq_c")
 
 
-def chi_square_cdf(x, k: int, terms: int = 400) -> Column:
-    """Chi-square distribution function with integer k: a finite sum for even k, a power series for odd k."""
+def chi_square_cdf(x, k: int) -> Column:
+    """Chi-square distribution function with integer k, by finite sums: exponential terms, and for odd k the normal tail too."""
     h = col(x) / 2.0
     if k % 2 == 0:
         s, term = F.lit(1.0), F.lit(1.0)
@@ -73,15 +73,25 @@ def chi_square_cdf(x, k: int, terms: int = 400) -> Column:
             term = term * h / float(i)
             s = s + term
         return F.lit(1.0) - F.exp(-h) * s
-    a = k / 2.0
-    start = F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s"))
+    # P(chi2_k > x) = erfc(sqrt(h)) + exp(-h) * sum of h^(j - 1/2) / gamma(j + 1/2) for j = 1 .. (k - 1) / 2
+    tail = erfc(F.sqrt(h))
+    for j in range(1, (k - 1) // 2 + 1):
+        tail = tail + F.exp(-h) * F.pow(h, F.lit(j - 0.5)) / math.gamma(j + 0.5)
+    return F.lit(1.0) - tail
 
-    def step(acc, i):
-        t = acc["t"] * h / (F.lit(a) + i)
-        return F.struct(t.alias("t"), (acc["s"] + t).alias("s"))
 
-    series = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), start, step)["s"]
-    return F.least(F.exp(-h) * F.pow(h, F.lit(a)) * series / math.gamma(a + 1.0), F.lit(1.0))
+def erfc(x) -> Column:
+    """Complementary error function of a column that is not negative: Maclaurin series up to 2.5, a continued fraction beyond."""
+    x = col(x)
+    near = F.least(x, F.lit(2.5))
+    square, total = near * near, F.lit(0.0)
+    for n in range(60, -1, -1):  # Horner over (-x^2)^n / (n! (2 n + 1)) as nested ratios
+        total = F.lit(1.0 / (2 * n + 1)) - total * square / float(n + 1) if n < 60 else F.lit(1.0 / (2 * n + 1))
+    far, fraction = F.greatest(x, F.lit(2.5)), F.greatest(x, F.lit(2.5))
+    for n in range(60, 0, -1):
+        fraction = far + F.lit(n / 2.0) / fraction
+    low = F.lit(1.0) - near * total * (2.0 / math.sqrt(math.pi))
+    return F.when(x <= 2.5, low).otherwise(F.exp(-far * far) / (fraction * math.sqrt(math.pi)))
 
 
 # ---- driver routines: a handful of numbers, never rows ------------------------------------------

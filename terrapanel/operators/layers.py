@@ -15,7 +15,8 @@ from terrapanel.tables import cut_lineage
 
 def fill_from_nearest(grid: DataFrame, value: str) -> DataFrame:
     """Cells (row, col) without a value take the nearest cell that has one; ties go to the lower row, then column."""
-    key = F.col("row") * 1000000 + F.col("col")
+    span = grid.agg(F.struct(F.min("col").alias("lo"), (F.max("col") - F.min("col") + 1).alias("n"))).scalar()
+    key = F.col("row") * span["n"] + F.col("col") - span["lo"]
     g = grid.withColumn("_k", key)
     have = g.filter(F.col(value).isNotNull())
     gaps = g.filter(F.col(value).isNull()).select(F.col("_k").alias("_t"), "row", "col")

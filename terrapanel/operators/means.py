@@ -31,21 +31,46 @@ def demean(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
 
 
 def demean_two_way(df: DataFrame, g1: str, g2: str, columns: Sequence[str], tol: float = 1e-10, max_iter: int = 500) -> DataFrame:
-    """Means of two sets of groups removed by alternating until nothing moves.
+    """Means of two sets of groups removed by alternating until no group's effect moves by ``tol``; raises if one still does.
 
-    Only the group means change from round to round, so a round reads the checkpointed rows once per set. The
-    lineage is cut every round at the reliable checkpoint folder.
+    The rounds work on counts and sums per pair of groups and write the two vectors of effects only. The rows are read
+    once to make the sums and once at the end, when both effects are subtracted.
     """
     names = list(columns)
-    d = cut_lineage(df)
+    cells = cut_lineage(df.groupBy(F.col(g1).alias("_g1"), F.col(g2).alias("_g2")).agg(
+        *[F.sum(c).alias(f"_s_{c}") for c in names], *[F.count(c).alias(f"_n_{c}") for c in names]))
+
+    def effects(key: str, other: str, known: DataFrame | None) -> DataFrame:
+        """Mean per group of ``key`` of what the effects of ``other`` leave."""
+        d = cells
+        if known is not None:
+            k = known.select(F.col(other).alias("_o"), *[F.col(f"_e_{c}").alias(f"_k_{c}") for c in names])
+            d = cells.join(k, F.col(other).eqNullSafe(F.col("_o")), "left")
+        left = [F.sum(F.col(f"_s_{c}") - (F.lit(0.0) if known is None else F.col(f"_n_{c}") * F.coalesce(f"_k_{c}", F.lit(0.0)))) for c in names]
+        return d.groupBy(key).agg(*[(s / F.nullif(F.sum(f"_n_{c}"), F.lit(0))).alias(f"_e_{c}") for c, s in zip(names, left, strict=True)])
+
+    second, step = None, None
     for _ in range(max_iter):
-        before = d.select("*", *[F.col(c).alias(f"_old_{c}") for c in names])
-        d = cut_lineage(demean(demean(before, g1, names), g2, names))
-        step = d.agg(F.max(F.greatest(*[F.abs(F.col(c) - F.col(f"_old_{c}")) for c in names], F.lit(0.0)))).first()[0]
-        d = d.drop(*[f"_old_{c}" for c in names])
+        first = cut_lineage(effects("_g1", "_g2", second))
+        new = cut_lineage(effects("_g2", "_g1", first))
+        if second is not None:
+            old = second.select(F.col("_g2").alias("_o"), *[F.col(f"_e_{c}").alias(f"_k_{c}") for c in names])
+            moved = [F.abs(F.coalesce(F.col(f"_e_{c}") - F.col(f"_k_{c}"), F.lit(0.0))) for c in names]
+        else:
+            old, moved = None, [F.abs(F.coalesce(f"_e_{c}", F.lit(0.0))) for c in names]
+        both = new if old is None else new.join(old, F.col("_g2").eqNullSafe(F.col("_o")))
+        step = both.agg(F.max(F.greatest(*moved, F.lit(0.0)))).first()[0]
+        second = new
         if step is None or step < tol:
             break
-    return d
+    else:
+        raise RuntimeError(f"group effects still move by {step} after {max_iter} rounds")
+    a = first.select("_g1", *[F.col(f"_e_{c}").alias(f"_a_{c}") for c in names])
+    b = second.select("_g2", *[F.col(f"_e_{c}").alias(f"_b_{c}") for c in names])
+    d = df.join(a, F.col(g1).eqNullSafe(F.col("_g1")), "left").join(b, F.col(g2).eqNullSafe(F.col("_g2")), "left")
+    for c in names:
+        d = d.withColumn(c, F.col(c) - F.col(f"_a_{c}") - F.col(f"_b_{c}"))
+    return d.select(*df.columns)
 
 
 def climate_anomaly(df: DataFrame, node: str, year: str, columns: Sequence[str]) -> DataFrame:

@@ -249,7 +249,7 @@ class Portfolio:
             part = take.filter(F.col("grp") == g).withColumn("_e", -F.col("gain") / F.greatest(F.col("area"), F.lit(1e-12)))
             keep = running_totals(part, "_e", {"s": F.col("area")}).filter(F.col("s_before") + F.col("s") <= room).select("_e")
             take = cut_lineage(take.filter(F.col("grp") != g).unionByName(part.join(keep, "_e", "left_semi").drop("_e")))
-        return take.limit(0)
+        raise RuntimeError("no plan within the share of a group was found")
 
     def _report(self, plan: DataFrame | None, budget: float, lam: float, alpha: float, bound: float, share: float) -> dict:
         n = len(self.scenarios)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from terrapanel.functions.numeric import floor0
 from terrapanel.functions.weather import potential_melt, snowfall
+from terrapanel.tables import require
 
 
 def snowpack(df: DataFrame, keys: Sequence[str], day: str = "doy", p: str = "p", t: str = "t_mean",
@@ -32,7 +33,12 @@ def snowpack(df: DataFrame, keys: Sequence[str], day: str = "doy", p: str = "p",
 def _fold_days(df: DataFrame, keys: Sequence[str], day: str, fields: Sequence[str], extra: dict):
     """One row per key with the ordered days as an array; a key is a node-year, so at most 366 elements."""
     days = F.array_sort(F.collect_list(F.struct(F.col(day).alias("_d"), *[F.col(c) for c in fields])))
-    return df.groupBy(*keys).agg(days.alias("_days"), *[e.alias(n) for n, e in extra.items()])
+    return _one_year(df.groupBy(*keys).agg(days.alias("_days"), *[e.alias(n) for n, e in extra.items()]))
+
+
+def _one_year(g: DataFrame) -> DataFrame:
+    """Raises where ``_days`` is longer than a year: the keys lack the year, or days repeat."""
+    return require(g, F.size("_days") > 366, "a series has more than 366 days; is the year among its keys?")
 
 
 def _bucket_step(w, pet, inflow, w_max, crit: float):
@@ -115,6 +121,7 @@ def failure_index(df: DataFrame, keys: Sequence[str], loss: str = "loss", psi: s
     else:
         g = d.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
             F.col(day).alias("_d"), F.col("closed"), F.col(loss).alias("_l")))).alias("_days"))
+        g = _one_year(g)
         empty = F.slice(F.array(F.lit(0.0)), 1, 0)
         start = F.struct(F.lit(0.0).alias("a"), empty.alias("out"))
 
@@ -159,6 +166,7 @@ def threshold_curve(df: DataFrame, keys: Sequence[str], psi: str = "psi_soil", l
     """
     g = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
         F.col(day).alias("d"), F.col(psi).alias("p"), F.col(loss).alias("l")))).alias("_days"))
+    g = _one_year(g)
     steps = F.array_sort(F.array_distinct(F.transform("_days", lambda x: x["p"])))
 
     def longest(t):

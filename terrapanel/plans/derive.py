@@ -5,17 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrapanel import constants as K
 from terrapanel.functions import ecology as E
 from terrapanel.functions import hydraulics as H
 from terrapanel.functions import water as S
 from terrapanel.functions import weather as X
-from terrapanel.functions.numeric import col
 
 
 def derive_weather(node_day: DataFrame, node: DataFrame, month_params: DataFrame, exposure=1.0, k_cap: float = 1.0,
                    keep: tuple[str, ...] = ()) -> DataFrame:
-    """Reference weather moved to each node: t_mean, t_max, t_min, p, ea, vpd_day, vpd_max, vpd24, pressure.
+    """Reference weather of every node, year and day moved to the node: t_mean, t_max, t_min, p, ea, vpd_day, vpd_max, vpd24, pressure.
 
     ``node_day`` holds t_mean, t_max, t_min, p and ea at the reference elevation. The twelve monthly parameter rows
     are broadcast (their number is fixed); the node table joins by key.
@@ -23,7 +21,7 @@ def derive_weather(node_day: DataFrame, node: DataFrame, month_params: DataFrame
     d = node_day.join(F.broadcast(month_params), "month").join(node, "node")
     cap = X.cold_air("concavity", "calm", k_cap)
     d = d.select(
-        "node", "doy", "month", *keep, *[c for c in node.columns if c != "node"],
+        "node", "year", "doy", "month", *keep, *[c for c in node.columns if c != "node"],
         X.t_at_elevation("t_mean", "z", "z_ref", "gamma").alias("t_mean"),
         X.t_at_elevation("t_max", "z", "z_ref", "gamma").alias("t_max"),
         X.t_at_elevation("t_min", "z", "z_ref", "gamma", cap).alias("t_min"),
@@ -36,8 +34,8 @@ def derive_weather(node_day: DataFrame, node: DataFrame, month_params: DataFrame
 
 def derive_radiation(node_day: DataFrame, node: DataFrame) -> DataFrame:
     """Extraterrestrial terms and the sky view of each node and day."""
-    d = node_day.select("node", "doy").join(node.select("node", "lat", "slope", "aspect"), "node")
-    return d.select("node", "doy", X.declination("doy").alias("declination"), X.inverse_distance("doy").alias("dr"),
+    d = node_day.select("node", "year", "doy").join(node.select("node", "lat", "slope", "aspect"), "node")
+    return d.select("node", "year", "doy", X.declination("doy").alias("declination"), X.inverse_distance("doy").alias("dr"),
                     X.sunset_angle("lat", "doy").alias("sunset"), X.extraterrestrial("lat", "doy").alias("ra"),
                     X.sky_view_slope("slope").alias("sky_view"))
 
@@ -45,12 +43,15 @@ def derive_radiation(node_day: DataFrame, node: DataFrame) -> DataFrame:
 def slope_ratio(node_day: DataFrame, node: DataFrame, steps: int = 288, tau: float = 0.75) -> DataFrame:
     """Daily beam energy on the slope over that on flat ground; null when the sun does not rise.
 
-    One row per hour angle, summed again before any shuffle (each day's steps are made and combined in one task).
-    The steps keep to generated code, which a fold over an array inside the row would not.
+    The ratio depends on place and day of the year alone, so it is made once per distinct (lat, slope, aspect, doy) and joined
+    to the days of all years. One row per hour angle, summed again before any shuffle (each day's steps are made and
+    combined in one task). The steps keep to generated code, which a fold over an array inside the row would not.
     """
-    n = node.select("node", *[F.radians(c).alias(a) for c, a in (("lat", "_lat"), ("slope", "_b"), ("aspect", "_asp"))], "lat")
-    d = node_day.select("node", "doy").join(n, "node")
-    d = d.select("node", "doy", "_b", "_asp", X.sunset_angle("lat", "doy").alias("_ws"), F.sin("_lat").alias("_sl"), F.cos("_lat").alias("_cl"),
+    place = ["lat", "slope", "aspect", "doy"]
+    days = node_day.select("node", "year", "doy").join(node.select("node", "lat", "slope", "aspect"), "node")
+    d = days.select(*place).distinct()
+    d = d.select("*", *[F.radians(c).alias(a) for c, a in (("lat", "_lat"), ("slope", "_b"), ("aspect", "_asp"))])
+    d = d.select(*place, "_b", "_asp", X.sunset_angle("lat", "doy").alias("_ws"), F.sin("_lat").alias("_sl"), F.cos("_lat").alias("_cl"),
                  F.sin(X.declination("doy")).alias("_sd"), F.cos(X.declination("doy")).alias("_cd"))
     d = d.select("*", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("_i"))
     # each stage is a column of its own, so no expression is repeated inside the next one
@@ -63,15 +64,16 @@ def slope_ratio(node_day: DataFrame, node: DataFrame, steps: int = 288, tau: flo
     d = d.withColumn("_turn", F.cos(F.when(F.col("_h") > 0, -F.col("_az")).otherwise(F.col("_az")) - F.col("_asp")))
     d = d.withColumn("_inc", F.cos("_b") * F.col("_cz") + F.sin("_b") * F.col("_sz") * F.col("_turn"))
     d = d.withColumn("_beam", F.when(F.col("_cz") > 0.02, F.pow(F.lit(tau), F.lit(1.0) / F.greatest("_cz", F.lit(0.02)))).otherwise(0.0))
-    s = d.groupBy("node", "doy").agg(F.sum(F.col("_beam") * F.greatest("_inc", F.lit(0.0))).alias("_s"),
+    s = d.groupBy(*place).agg(F.sum(F.col("_beam") * F.greatest("_inc", F.lit(0.0))).alias("_s"),
                                      F.sum(F.col("_beam") * F.col("_cz")).alias("_f"), F.max("_ws").alias("_ws"))
     ratio = F.col("_s") / F.nullif(F.col("_f"), F.lit(0.0))
-    return s.select("node", "doy", F.when(F.col("_ws") > 1e-6, ratio).alias("slope_ratio"))
+    s = s.select(*place, F.when(F.col("_ws") > 1e-6, ratio).alias("slope_ratio"))
+    return days.join(s, place).select("node", "year", "doy", "slope_ratio")
 
 
 def derive_pet(weather: DataFrame, g=0.0, g_a: Column | None = None, g_c: Column | None = None,
                keep: tuple[str, ...] = ()) -> DataFrame:
-    """Long table of potential evaporation: one row per (node, day, pet_name).
+    """Long table of potential evaporation: one row per (node, year, day, pet_name).
 
     The canopy form appears only when both conductances are given. One pass over the weather rows: the names are an
     array column that is exploded, not one scan per formulation.
@@ -84,8 +86,8 @@ def derive_pet(weather: DataFrame, g=0.0, g_a: Column | None = None, g_c: Column
     if g_a is not None and g_c is not None:
         forms["canopy_pm"] = X.pet_canopy("rn", g, "t_mean", "vpd_day", g_a, g_c, "pressure")
     rows = F.explode(F.array(*[F.struct(F.lit(n).alias("pet_name"), e.alias("pet")) for n, e in forms.items()]))
-    d = weather.select("node", "doy", *keep, rows.alias("_p"))
-    return d.select("node", "doy", *keep, F.col("_p.pet_name").alias("pet_name"), F.col("_p.pet").alias("pet"))
+    d = weather.select("node", "year", "doy", *keep, rows.alias("_p"))
+    return d.select("node", "year", "doy", *keep, F.col("_p.pet_name").alias("pet_name"), F.col("_p.pet").alias("pet"))
 
 
 def derive_soil(node: DataFrame) -> DataFrame:
@@ -95,9 +97,8 @@ def derive_soil(node: DataFrame) -> DataFrame:
 
 
 def group_capacity(soil: DataFrame, group_depth: DataFrame) -> DataFrame:
-    """Bucket capacity per node and group; the group table is a dimension of a few rows."""
-    depths = F.array(*[F.struct(F.lit(r["grp"]).alias("grp"), F.lit(float(r["depth_mm"])).alias("depth"))
-                       for r in group_depth.limit(1000).collect()])
+    """Bucket capacity of every node and group: the groups are one array, a scalar of the plan, and each node explodes it."""
+    depths = group_depth.agg(F.collect_list(F.struct("grp", F.col("depth_mm").cast("double").alias("depth")))).scalar()
     s = soil.select("*", F.explode(depths).alias("_g"))
     return s.select(*soil.columns, F.col("_g.grp").alias("grp"),
                     S.bucket_capacity("theta_fc", "theta_lim", F.col("_g.depth")).alias("w_max"))
@@ -163,5 +164,3 @@ def soil_units(df: DataFrame) -> DataFrame:
     """Per-mille texture and carbon to percent and g/kg."""
     return df.select("*", *[S.texture_to_percent(c).alias(f"{c}_pct") for c in ("sand", "clay", "soc")])
 
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["col", "K"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,17 +26,20 @@ def treeline_shift(node_day: DataFrame, deltas: DataFrame, keys: Sequence[str],
 
 
 def finished_members(spark: SparkSession, path: str, factors: Sequence[str]) -> DataFrame | None:
-    """Members already written under a partitioned path; None when nothing was written yet."""
+    """Members whose completion is recorded beside the partitioned path; None when no run was completed yet."""
     try:
-        return spark.read.parquet(path).select(*factors).distinct()
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
+        return spark.read.parquet(f"{path}.done").select(*factors).distinct()
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
         raise
 
 
 def run_members(spark: SparkSession, members: DataFrame, job: Callable[[DataFrame], DataFrame], path: str, factors: Sequence[str]) -> DataFrame:
-    """Run ``job`` on the members that have no output yet and append it, one folder per member.
+    """Run ``job`` on the members that aren't complete and write their output, one folder per member.
+
+    A member's folder is replaced as a whole and its completion recorded afterwards, so what a broken run left is written
+    anew, neither skipped nor doubled.
 
     ``job`` takes the table of missing members and returns rows that carry the factor columns. Raises when the
     written ensemble still misses a member, so a partial ensemble is never published.
@@ -43,7 +47,10 @@ def run_members(spark: SparkSession, members: DataFrame, job: Callable[[DataFram
     done = finished_members(spark, path, factors)
     todo = members if done is None else members.join(done, list(factors), "left_anti")
     if not todo.isEmpty():
-        job(todo).repartition(*factors).write.partitionBy(*factors).mode("append").parquet(path)
+        made = job(todo).hint("rebalance", *[F.col(f) for f in factors])
+        made.write.partitionBy(*factors).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+        written = spark.read.parquet(path).select(*factors).distinct()
+        todo.select(*factors).join(written, list(factors), "left_semi").write.mode("append").parquet(f"{path}.done")
     out = spark.read.parquet(path)
     missing = members.join(out.select(*factors).distinct(), list(factors), "left_anti").count()
     if missing:

@@ -27,36 +27,37 @@ def annual_water(node_day: DataFrame, keys: list[str], soil: DataFrame | None =
 
 
 def node_weather(node_day: DataFrame, node: DataFrame, months: DataFrame, factors: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The group-free weather stage. ``factors`` (node, doy, f_rn, f_wind, f_ea) scales radiation, wind and humidity;
-    None is the constant option, factor one every day."""
+    """The group-free weather stage. ``factors`` (node, doy, f_rn, f_wind, f_ea) scales radiation, wind and humidity
+    of every year (day 366 takes the factor of day 365); None is the constant option. A node or day without a factor raises."""
     d = node_day
     if factors is not None:
-        d = d.join(factors, ["node", "doy"], "left")
+        missing = F.raise_error(F.lit("a node or day has no seasonal factor")).cast("double")
+        d = d.withColumn("_day", F.least("doy", F.lit(365))).join(factors.withColumnRenamed("doy", "_day"), ["node", "_day"], "left").drop("_day")
         for c, f in (("rn", "f_rn"), ("u2", "f_wind"), ("ea", "f_ea")):
-            d = d.withColumn(c, F.col(c) * F.coalesce(F.col(f), F.lit(1.0)))
+            d = d.withColumn(c, F.col(c) * F.coalesce(F.col(f), missing))
         d = d.drop("f_rn", "f_wind", "f_ea")
     return derive_weather(d, node, months, keep=("rn", "u2", *keep))
 
 
 def node_water_balance(weather: DataFrame, capacity: DataFrame, soil: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Annual water indices per (node, grp, pet_name).
+    """Annual water indices per (node, year, grp, pet_name).
 
-    Snow depends on neither the group nor the formulation, so it is computed once per node; evaporation once per
-    formulation; only the bucket runs per (node, grp, pet_name).
+    Snow depends on neither the group nor the formulation, so it is computed once per node and year; evaporation once per
+    formulation; only the bucket runs per (node, year, grp, pet_name).
     """
-    snow = scans.snowpack(weather, ["node", *keep])
+    snow = scans.snowpack(weather, ["node", "year", *keep])
     pet = derive_pet(snow, keep=("liquid", *keep))
     d = pet.join(capacity.select("node", "grp", "w_max"), "node")
-    out = scans.soil_bucket_annual(d, ["node", *keep, "grp", "pet_name"], carry=("w_max",))
+    out = scans.soil_bucket_annual(d, ["node", "year", *keep, "grp", "pet_name"], carry=("w_max",))
     out = out.join(soil, "node")
     theta = S.theta_of_storage("w_min", "w_max", "theta_fc", "theta_lim")
-    return out.select("node", *keep, "grp", "pet_name", "cwd", "wsi", "aet", "drainage", "balance_error",
+    return out.select("node", "year", *keep, "grp", "pet_name", "cwd", "wsi", "aet", "drainage", "balance_error",
                       S.soil_potential(theta, "theta_sat", "psi_sat", "b").alias("psi_min"))
 
 
 def node_indices(weather: DataFrame, budburst: Column, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Season indices, late frost and annual means of the weather stage, one row per node."""
-    keys = ["node", *keep]
+    """Season indices, late frost and annual means of the weather stage, one row per node and year."""
+    keys = ["node", "year", *keep]
     base = weather.groupBy(*keys).agg(F.avg("t_mean").alias("t_mean"), F.sum("p").alias("p_sum"))
     return (base.join(Wn.season_indices(weather, keys), keys).join(Wn.late_frost(weather, keys, budburst), keys))
 

@@ -66,15 +66,20 @@ def with_sql(ctes: list[str], select: str) -> str:
 # ---- daily node series from events ------------------------------------------------------------
 
 def node_day(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per node and calendar day (days without events included), 30 days per node here."""
+    """One row per node, year and day (days without events included).
+
+    Days from the 16th of the record on are moved to the next year, so a node has the same days of the year twice.
+    """
     e = table(spark, sf, "events").select(F.col("user_id").alias("node"), F.to_date("ts").alias("date"), "value")
     day = e.groupBy("node", "date").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("v"))
     lo, hi = e.agg(F.min("date")).scalar(), e.agg(F.max("date")).scalar()
     full = e.select("node").distinct().withColumn("date", F.explode(F.sequence(lo, hi)))
     d = full.join(day, ["node", "date"], "left")
+    moved = F.add_months(F.date_sub("date", 15), 12)
+    d = d.withColumn("date", F.when(F.datediff("date", lo) >= 15, moved).otherwise(F.col("date")))
     n = F.coalesce("n", F.lit(0)).cast("double")
-    v = F.least(F.coalesce("v", F.lit(0.0)), F.lit(200.0))
-    d = d.select("node", "date", F.dayofyear("date").alias("doy"), F.month("date").alias("month"), n.alias("n"), v.alias("v"))
+    v = F.coalesce("v", F.lit(0.0)) * 0.6
+    d = d.select("node", "date", F.year("date").cast("bigint").alias("year"), F.dayofyear("date").alias("doy"), F.month("date").alias("month"), n.alias("n"), v.alias("v"))
     t = F.col("v") * 0.12 - 4.0
     d = d.withColumn("t_mean", t).withColumn("t_max", F.col("t_mean") + 3.0 + F.col("n"))
     d = d.withColumn("t_min", F.col("t_mean") - 3.0 - F.col("n") * 0.5)
@@ -88,10 +93,11 @@ NODE_DAY = [
     "ev AS (SELECT user_id AS node, CAST(ts AS DATE) AS date, count(*) AS n, max(value) AS v FROM events GROUP BY 1, 2)",
     "span AS (SELECT min(CAST(ts AS DATE)) AS lo, max(CAST(ts AS DATE)) AS hi FROM events)",
     "users AS (SELECT DISTINCT user_id AS node FROM events)",
-    "days AS (SELECT node, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS date FROM users, span)",
-    """nd0 AS (SELECT d.node, d.date, dayofyear(d.date) AS doy, month(d.date) AS month,
-        CAST(coalesce(n, 0) AS DOUBLE) AS n, least(coalesce(v, 0.0), 200.0) AS v
-        FROM days d LEFT JOIN ev USING (node, date))""",
+    "days AS (SELECT node, lo, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS date FROM users, span)",
+    """kept AS (SELECT node, CASE WHEN date - lo >= 15 THEN CAST(date - 15 + INTERVAL 1 YEAR AS DATE) ELSE date END AS date, n, v
+        FROM days LEFT JOIN ev USING (node, date))""",
+    """nd0 AS (SELECT node, date, year(date) AS year, dayofyear(date) AS doy, month(date) AS month,
+        CAST(coalesce(n, 0) AS DOUBLE) AS n, coalesce(v, 0.0) * CAST(0.6 AS DOUBLE) AS v FROM kept)""",
     "nd1 AS (SELECT *, v * CAST(0.12 AS DOUBLE) - 4.0 AS t_mean FROM nd0)",
     """node_day AS (SELECT *, t_mean + 3.0 + n AS t_max, t_mean - 3.0 - n * CAST(0.5 AS DOUBLE) AS t_min,
         CASE WHEN n >= 3 THEN (n - 2.0) * 4.0 ELSE 0.0 END AS p, least(40.0 + n * 5.0, 95.0) AS rh,

@@ -38,13 +38,13 @@ def _day(name: str, exprs: dict, sql: dict, joined: bool = False):
     """Register a query that adds columns to the daily series (optionally joined with the node table)."""
     src = "node_day JOIN nodes USING (node)" if joined else "node_day"
     text = with_sql(DAY + (NODE if joined else []),
-                    f"SELECT node, {bi('doy')} AS doy, " + ", ".join(f"{q6(e)} AS {n}" for n, e in sql.items()) + f" FROM {src}")
+                    f"SELECT node, year, {bi('doy')} AS doy, " + ", ".join(f"{q6(e)} AS {n}" for n, e in sql.items()) + f" FROM {src}")
 
     def fn(spark, sf):
         t = B.node_day(spark, sf)
         if joined:
             t = t.join(B.nodes(spark, sf), "node")
-        return rnd(t.select("node", "doy", *[e().alias(n) for n, e in exprs.items()]))
+        return rnd(t.select("node", "year", "doy", *[e().alias(n) for n, e in exprs.items()]))
 
     query(name, text)(fn)
 
@@ -104,33 +104,33 @@ _day("col_pet_canopy",
              f"({slope_es('t_mean')} + 0.000665 * {PRES} * (1.0 + 0.02 / {GC})) / 2.45"}, True)
 
 
-@query("col_t_downscaled", with_sql(DAY + NODE + B.MONTHS, f"""SELECT node, {bi('doy')} AS doy,
+@query("col_t_downscaled", with_sql(DAY + NODE + B.MONTHS, f"""SELECT node, year, {bi('doy')} AS doy,
     {q6('t_mean + gamma * (z - z_ref)')} AS t_mean, {q6('t_max + gamma * (z - z_ref)')} AS t_max,
     {q6('t_min + gamma * (z - z_ref) - greatest(concavity, 0.0) * calm')} AS t_min
     FROM node_day JOIN nodes USING (node) JOIN months USING (month)"""))
 def col_t_downscaled(spark, sf):
     nd = B.node_day(spark, sf).withColumn("ea", ea())
-    return rnd(D.derive_weather(nd, B.nodes(spark, sf), B.months(spark)).select("node", "doy", "t_mean", "t_max", "t_min"))
+    return rnd(D.derive_weather(nd, B.nodes(spark, sf), B.months(spark)).select("node", "year", "doy", "t_mean", "t_max", "t_min"))
 
 
-@query("col_p_downscaled", with_sql(DAY + NODE + B.MONTHS, f"""SELECT node, {bi('doy')} AS doy,
+@query("col_p_downscaled", with_sql(DAY + NODE + B.MONTHS, f"""SELECT node, year, {bi('doy')} AS doy,
     {q6('greatest(p * exp(grad * (z - z_ref)), 0.0)')} AS p FROM node_day JOIN nodes USING (node) JOIN months USING (month)"""))
 def col_p_downscaled(spark, sf):
     nd = B.node_day(spark, sf).withColumn("ea", ea())
-    return rnd(D.derive_weather(nd, B.nodes(spark, sf), B.months(spark)).select("node", "doy", "p"))
+    return rnd(D.derive_weather(nd, B.nodes(spark, sf), B.months(spark)).select("node", "year", "doy", "p"))
 
 
 CI = "(cos(b) * cos(acos(cz)) + sin(b) * sin(acos(cz)) * cos(az - asp))"
 
 
 @query("col_slope_ratio", with_sql(DAY + NODE + [
-    f"g AS (SELECT node, doy, radians(lat) AS lat, radians(slope) AS b, radians(aspect) AS asp, {DEC} AS dec, {WS} AS ws FROM node_day JOIN nodes USING (node))",
+    f"g AS (SELECT node, year, doy, radians(lat) AS lat, radians(slope) AS b, radians(aspect) AS asp, {DEC} AS dec, {WS} AS ws FROM node_day JOIN nodes USING (node))",
     f"h AS (SELECT *, ws * (i * {d(2.0 / 287)} - 1.0) AS h FROM g, range(0, 288) r(i))",
     "c AS (SELECT *, least(greatest(sin(lat) * sin(dec) + cos(lat) * cos(dec) * cos(h), -1.0), 1.0) AS cz FROM h)",
     """a AS (SELECT *, CASE WHEN h > 0 THEN 2 * pi() - acos(least(greatest((sin(dec) - cz * sin(lat)) / (sqrt(greatest(1.0 - cz * cz, 1e-12)) * cos(lat)), -1.0), 1.0))
         ELSE acos(least(greatest((sin(dec) - cz * sin(lat)) / (sqrt(greatest(1.0 - cz * cz, 1e-12)) * cos(lat)), -1.0), 1.0)) END AS az FROM c)""",
-], f"""SELECT node, {bi('doy')} AS doy, {q6(f'''sum(CASE WHEN cz > 0.02 THEN pow(0.75, 1.0 / greatest(cz, 0.02)) * greatest({CI}, 0.0) ELSE 0.0 END)
-    / nullif(sum(CASE WHEN cz > 0.02 THEN pow(0.75, 1.0 / greatest(cz, 0.02)) * cz ELSE 0.0 END), 0.0)''', 5)} AS slope_ratio FROM a GROUP BY node, doy"""))
+], f"""SELECT node, year, {bi('doy')} AS doy, {q6(f'''sum(CASE WHEN cz > 0.02 THEN pow(0.75, 1.0 / greatest(cz, 0.02)) * greatest({CI}, 0.0) ELSE 0.0 END)
+    / nullif(sum(CASE WHEN cz > 0.02 THEN pow(0.75, 1.0 / greatest(cz, 0.02)) * cz ELSE 0.0 END), 0.0)''', 5)} AS slope_ratio FROM a GROUP BY node, year, doy"""))
 def col_slope_ratio(spark, sf):
     return rnd(D.slope_ratio(B.node_day(spark, sf), B.nodes(spark, sf)), 5)
 
@@ -184,18 +184,18 @@ def col_wmax(spark, sf):
 TH = "(theta_lim + (theta_fc - theta_lim) * (n / 10.0))"
 
 
-@query("col_theta", with_sql(DAY + NODE + SOIL, f"SELECT node, {bi('doy')} AS doy, {q6(TH)} AS theta FROM node_day JOIN soilp USING (node)"))
+@query("col_theta", with_sql(DAY + NODE + SOIL, f"SELECT node, year, {bi('doy')} AS doy, {q6(TH)} AS theta FROM node_day JOIN soilp USING (node)"))
 def col_theta(spark, sf):
     t = B.node_day(spark, sf).join(D.derive_soil(B.nodes(spark, sf)), "node")
-    return rnd(t.select("node", "doy", S.theta_of_storage("n", F.lit(10.0), "theta_fc", "theta_lim").alias("theta")))
+    return rnd(t.select("node", "year", "doy", S.theta_of_storage("n", F.lit(10.0), "theta_fc", "theta_lim").alias("theta")))
 
 
-@query("col_psi_soil", with_sql(DAY + NODE + SOIL, f"""SELECT node, {bi('doy')} AS doy,
+@query("col_psi_soil", with_sql(DAY + NODE + SOIL, f"""SELECT node, year, {bi('doy')} AS doy,
     {q6(f'psi_sat * pow(greatest({TH}, 1e-6) / theta_sat, -b)')} AS psi FROM node_day JOIN soilp USING (node)"""))
 def col_psi_soil(spark, sf):
     t = B.node_day(spark, sf).join(D.derive_soil(B.nodes(spark, sf)), "node")
     theta = S.theta_of_storage("n", F.lit(10.0), "theta_fc", "theta_lim")
-    return rnd(t.select("node", "doy", S.soil_potential(theta, "theta_sat", "psi_sat", "b").alias("psi")))
+    return rnd(t.select("node", "year", "doy", S.soil_potential(theta, "theta_sat", "psi_sat", "b").alias("psi")))
 
 
 # ---- traits: one row per supplier as a trait set --------------------------------------------------

@@ -25,6 +25,8 @@ def scratch(spark) -> str:
     if shared:
         import uuid
         return f"{shared.rstrip('/')}/out-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/out"
 
 
@@ -74,10 +76,10 @@ def src_flux_to_depth(spark, sf):
     return rnd(Tb.flux_to_depth(o))
 
 
-@query("src_vapour_from_rh", with_sql(B.NODE_DAY, f"SELECT node, {bi('doy')} AS doy, {q6('least(rh * 1.4, 100.0) / 100.0 * ' + C.es('t_mean'))} AS ea FROM node_day"))
+@query("src_vapour_from_rh", with_sql(B.NODE_DAY, f"SELECT node, year, {bi('doy')} AS doy, {q6('least(rh * 1.4, 100.0) / 100.0 * ' + C.es('t_mean'))} AS ea FROM node_day"))
 def src_vapour_from_rh(spark, sf):
     d = B.node_day(spark, sf)
-    return rnd(Tb.vapour_from_humidity(d.select("node", "doy", (F.col("rh") * 1.4).alias("value")), d.select("node", "doy", F.col("t_mean").alias("value")), ["node", "doy"]))
+    return rnd(Tb.vapour_from_humidity(d.select("node", "year", "doy", (F.col("rh") * 1.4).alias("value")), d.select("node", "year", "doy", F.col("t_mean").alias("value")), ["node", "year", "doy"]))
 
 
 BOX = (43.4, 38.8, 46.7, 41.4)
@@ -96,18 +98,26 @@ def src_target_group_background(spark, sf):
     return Tb.target_group_background(o, targets, 300, mix32("rec", seed=3), "rec").select("rec", "species")
 
 
-@query("src_scenario_wide_to_long", f"SELECT o_orderpriority AS scenario, CAST(year(o_orderdate) AS BIGINT) AS year, {q6('sum(o_totalprice) / 1e6', 4)} AS ppm FROM orders WHERE year(o_orderdate) <= 1999 GROUP BY 1, 2")
+def years_of(df, date: str) -> list[int]:
+    """All years from the first to the last of a table."""
+    lo, hi = df.agg(F.min(F.year(date)), F.max(F.year(date))).first()
+    return list(range(lo, hi + 1))
+
+
+@query("src_scenario_wide_to_long", f"SELECT o_orderpriority AS scenario, CAST(year(o_orderdate) AS BIGINT) AS year, {q6('sum(o_totalprice) / 1e6', 4)} AS ppm FROM orders GROUP BY 1, 2")
 def src_scenario_wide_to_long(spark, sf):
     """Pathways with one column per year, back to rows."""
-    w = B.table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("scenario")).agg(
-        *[(F.sum(F.when(F.year("o_orderdate") == y, F.col("o_totalprice"))) / 1e6).alias(str(y)) for y in range(1995, 2000)])
+    o = B.table(spark, sf, "orders")
+    w = o.groupBy(F.col("o_orderpriority").alias("scenario")).agg(
+        *[(F.sum(F.when(F.year("o_orderdate") == y, F.col("o_totalprice"))) / 1e6).alias(str(y)) for y in years_of(o, "o_orderdate")])
     return rnd(Tb.wide_years_to_long(w, ["scenario"], "ppm"), 4)
 
 
-@query("src_bands_wide_to_long", "SELECT l_suppkey AS pixel, CAST(y AS BIGINT) AS year, sum(CASE WHEN year(l_shipdate) = y THEN l_quantity END) AS kndvi FROM lineitem, range(1996, 2001) r(y) GROUP BY 1, 2")
+@query("src_bands_wide_to_long", "SELECT l_suppkey AS pixel, CAST(y AS BIGINT) AS year, sum(CASE WHEN year(l_shipdate) = y THEN l_quantity END) AS kndvi FROM lineitem, (SELECT unnest(generate_series(min(year(l_shipdate)), max(year(l_shipdate)))) AS y FROM lineitem) r GROUP BY 1, 2")
 def src_bands_wide_to_long(spark, sf):
-    years = list(range(1996, 2001))
-    w = B.table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("pixel")).agg(
+    li = B.table(spark, sf, "lineitem")
+    years = years_of(li, "l_shipdate")
+    w = li.groupBy(F.col("l_suppkey").alias("pixel")).agg(
         *[F.sum(F.when(F.year("l_shipdate") == y, F.col("l_quantity"))).alias(f"kndvi_{y}") for y in years])
     return rnd(Tb.bands_to_long(w, ["pixel"], "kndvi_{year}", years, "kndvi"))
 
@@ -119,7 +129,7 @@ def src_trait_table(spark, sf):
     path = scratch(spark)
     head = spark.createDataFrame([("# traits per group",), ("grp,p50",)], "value string")
     body = t.select(F.concat_ws(",", F.col("id").cast("string"), F.col("p50").cast("string")).alias("value"))
-    head.unionByName(body).coalesce(1).filter(F.col("value") != "grp,p50").write.text(path)
+    head.unionByName(body).filter(F.col("value") != "grp,p50").write.text(path)
     spread = t.filter(F.col("id") % 4 != 0).select(F.col("id").alias("grp"), F.lit(0.3).alias("p50_sd"), F.when(F.col("id") % 6 != 1, 8.0).alias("slope_sd"))
     got = Tb.join_trait_spread(spark.read.csv(path, comment="#", schema="grp long, p50 double"), spread)
     return rnd(got.select("grp", "p50", "p50_sd", "status"))

@@ -44,14 +44,14 @@ DELTA = ["""del AS (SELECT c_nationkey AS nk, o_orderpriority AS gcm, o_ordersta
         FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3)"""]
 
 
-@query("jn_member_delta", with_sql(B.NODE_DAY + DELTA, f"SELECT node, {bi('doy')} AS doy, gcm, ssp, {q6('t_mean + d')} AS t_mean, {q6('p * r')} AS p FROM node_day JOIN del ON nk = node % 25"))
+@query("jn_member_delta", with_sql(B.NODE_DAY + DELTA, f"SELECT node, year, {bi('doy')} AS doy, gcm, ssp, {q6('t_mean + d', 3)} AS t_mean, {q6('p * r')} AS p FROM node_day JOIN del ON nk = node % 25"))
 def jn_member_delta(spark, sf):
     o = B.table(spark, sf, "orders").join(B.table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     d = o.groupBy(F.col("c_nationkey").cast("bigint").alias("nk"), F.col("o_orderpriority").alias("gcm"), F.col("o_orderstatus").alias("ssp")).agg(
         (F.avg("o_totalprice") / 100000.0).alias("d_tas"), (F.max("o_totalprice") / 411111.0).alias("r_pr"))
     d = d.select("*", F.col("d_tas").alias("d_tasmax"), F.col("d_tas").alias("d_tasmin"))
     nd = B.node_day(spark, sf).withColumn("nk", F.col("node") % 25)
-    return rnd(J.apply_member_delta(nd, d, ("nk",), ("gcm", "ssp")).select("node", "doy", "gcm", "ssp", "t_mean", "p"))
+    return rnd(J.apply_member_delta(nd, d, ("nk",), ("gcm", "ssp")).select("node", "year", "doy", "gcm", "ssp", "t_mean", "p"), t_mean=3)
 
 
 @query("jn_factorial_members", with_sql(B.MEMBERS, f"SELECT gcm, ssp, {bi('horizon')} AS horizon FROM (SELECT DISTINCT gcm FROM mem) a CROSS JOIN (SELECT DISTINCT ssp FROM mem) b CROSS JOIN (SELECT DISTINCT horizon FROM mem) c"))
@@ -194,10 +194,10 @@ def top_best_analogue(spark, sf):
 
 
 @query("agg_novelty", with_sql(B.POINTS + B.STATIONS + FEAT + ["d AS (SELECT point, min(d2) AS d2 FROM md GROUP BY point)"],
-    f"""SELECT point, {q6('1.0 - exp(-d2 / 2.0) * (1.0 + d2 / 2.0)')} AS novelty4 FROM d"""))
+    f"""SELECT point, {q6('CASE WHEN d2 <= 0 THEN 0.0 WHEN d2 > 120 THEN 1.0 ELSE list_sum(list_transform(range(0, 400), lambda n: exp((1.5 + n) * ln(d2 / 2.0) - d2 / 2.0 - lgamma(2.5 + n)))) END')} AS novelty FROM d"""))
 def agg_novelty(spark, sf):
-    """Chi-square percentile of the squared distance (four degrees of freedom)."""
-    return rnd(A.novelty(analogue(spark, sf), "dist", 4, "novelty4").select("point", "novelty4"))
+    """Chi-square percentile of the squared distance, with one degree of freedom per variable."""
+    return rnd(A.novelty(analogue(spark, sf), "dist", 3, "novelty").select("point", "novelty"))
 
 
 @query("jn_name_value_coalesce", """WITH ob AS (SELECT l_orderkey AS station, l_suppkey AS dt, CASE l_linenumber % 4 WHEN 0 THEN 'TAVG' WHEN 1 THEN 'TMAX' WHEN 2 THEN 'TMIN' ELSE 'PRCP' END AS e, l_quantity AS v FROM lineitem)

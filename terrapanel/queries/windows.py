@@ -19,20 +19,21 @@ from terrapanel.queries import columns as C
 from terrapanel.queries.base import bi, q6, query, rnd, with_sql
 
 DAY = B.NODE_DAY
-N, P_ = "node", "PARTITION BY node ORDER BY doy"
+N, P_ = "node", "PARTITION BY node, year ORDER BY doy"
+SERIES = ["node", "year"]
 
 # ---- snow, bucket ---------------------------------------------------------------------------------
 
 SNOW = ["""sx AS (SELECT *, CASE WHEN t_mean < 1.0 THEN p ELSE 0.0 END AS snow,
-        sum(CASE WHEN t_mean < 1.0 THEN p ELSE 0.0 END - 4.0 * greatest(t_mean, 0.0)) OVER (PARTITION BY node ORDER BY doy) AS cx FROM node_day)""",
-        "sm AS (SELECT *, cx - least(0.0, min(cx) OVER (PARTITION BY node ORDER BY doy)) AS swe FROM sx)",
-        "sw AS (SELECT *, coalesce(lag(swe) OVER (PARTITION BY node ORDER BY doy), 0.0) + snow - swe AS melt FROM sm)",
+        sum(CASE WHEN t_mean < 1.0 THEN p ELSE 0.0 END - 4.0 * greatest(t_mean, 0.0)) OVER (PARTITION BY node, year ORDER BY doy) AS cx FROM node_day)""",
+        "sm AS (SELECT *, cx - least(0.0, min(cx) OVER (PARTITION BY node, year ORDER BY doy)) AS swe FROM sx)",
+        "sw AS (SELECT *, coalesce(lag(swe) OVER (PARTITION BY node, year ORDER BY doy), 0.0) + snow - swe AS melt FROM sm)",
         "snowpack AS (SELECT *, p - snow + greatest(melt, 0.0) AS liquid FROM sw)"]
 
 
-@query("win_snowpack", with_sql(DAY + SNOW, f"SELECT node, {bi('doy')} AS doy, {q6('swe')} AS swe, {q6('greatest(melt, 0.0)')} AS melt, {q6('liquid')} AS liquid FROM snowpack"))
+@query("win_snowpack", with_sql(DAY + SNOW, f"SELECT node, year, {bi('doy')} AS doy, {q6('swe')} AS swe, {q6('greatest(melt, 0.0)')} AS melt, {q6('liquid')} AS liquid FROM snowpack"))
 def win_snowpack(spark, sf):
-    return rnd(scans.snowpack(B.node_day(spark, sf), [N]).select("node", "doy", "swe", "melt", "liquid"))
+    return rnd(scans.snowpack(B.node_day(spark, sf), SERIES).select("node", "year", "doy", "swe", "melt", "liquid"))
 
 
 def bucket_sql(src: str, key: str) -> list[str]:
@@ -46,45 +47,45 @@ def bucket_sql(src: str, key: str) -> list[str]:
         UNION ALL SELECT {cols} FROM (SELECT {step.format(w='b.w')} FROM bk b JOIN {src} s ON {on} AND s.rn = b.rn + 1))"""]
 
 
-BIN = ["bin0 AS (SELECT node, CAST(row_number() OVER (PARTITION BY node ORDER BY doy) AS BIGINT) AS rn, rn / 2.45 AS pet, liquid, w_max FROM snowpack JOIN nodes USING (node))"]
+BIN = ["bin0 AS (SELECT node, year, CAST(row_number() OVER (PARTITION BY node, year ORDER BY doy) AS BIGINT) AS rn, rn / 2.45 AS pet, liquid, w_max FROM snowpack JOIN nodes USING (node))"]
 BIN = [BIN[0].replace("rn / 2.45 AS pet", "snowpack.rn / 2.45 AS pet")]
 
 
 def bucket_in(spark, sf):
-    d = scans.snowpack(B.node_day(spark, sf), [N]).withColumn("pet", X.pet_energy("rn", 0.0))
+    d = scans.snowpack(B.node_day(spark, sf), SERIES).withColumn("pet", X.pet_energy("rn", 0.0))
     return d.join(B.nodes(spark, sf).select("node", "w_max"), "node")
 
 
-@query("scan_soil_bucket", with_sql(DAY + B.NODES + SNOW + BIN + bucket_sql("bin0", "node"),
-       f"SELECT node, rn AS doy, {q6('w')} AS w, {q6('rew')} AS rew, {q6('aet')} AS aet, {q6('dr')} AS drainage FROM bk"))
+@query("scan_soil_bucket", with_sql(DAY + B.NODES + SNOW + BIN + bucket_sql("bin0", "node, year"),
+       f"SELECT node, year, rn AS doy, {q6('w')} AS w, {q6('rew')} AS rew, {q6('aet')} AS aet, {q6('dr')} AS drainage FROM bk"))
 def scan_soil_bucket(spark, sf):
-    return rnd(scans.soil_bucket_daily(bucket_in(spark, sf), [N]).select("node", F.col("doy").cast("bigint").alias("doy"), "w", "rew", "aet", "drainage"))
+    return rnd(scans.soil_bucket_daily(bucket_in(spark, sf), SERIES).select("node", "year", F.col("doy").cast("bigint").alias("doy"), "w", "rew", "aet", "drainage"))
 
 
-@query("annual_water_deficit", with_sql(DAY + B.NODES + SNOW + BIN + bucket_sql("bin0", "node"),
-       f"SELECT node, {q6('sum(pet - aet)', 5)} AS cwd, {q6('sum(greatest(0.0, (0.4 - rew) / 0.4))', 5)} AS wsi, {q6('sum(aet)', 5)} AS aet, {q6('sum(dr)', 5)} AS drainage FROM bk GROUP BY node"))
+@query("annual_water_deficit", with_sql(DAY + B.NODES + SNOW + BIN + bucket_sql("bin0", "node, year"),
+       f"SELECT node, year, {q6('sum(pet - aet)', 5)} AS cwd, {q6('sum(greatest(0.0, (0.4 - rew) / 0.4))', 5)} AS wsi, {q6('sum(aet)', 5)} AS aet, {q6('sum(dr)', 5)} AS drainage FROM bk GROUP BY node, year"))
 def annual_water_deficit(spark, sf):
-    """Flagship: events -> daily series -> snow -> bucket -> annual deficit per node."""
-    return rnd(WB.annual_water(bucket_in(spark, sf), [N]).select("node", "cwd", "wsi", "aet", "drainage"), 5)
+    """Flagship: events -> daily series -> snow -> bucket -> annual deficit per node and year."""
+    return rnd(WB.annual_water(bucket_in(spark, sf), SERIES).select("node", "year", "cwd", "wsi", "aet", "drainage"), 5)
 
 
 # full job: downscaled weather, three evaporation forms, three groups
-WX = [f"""wx AS (SELECT node, doy, rn AS rnet, u2, t_mean + gamma * (z - z_ref) AS t_mean, t_max + gamma * (z - z_ref) AS t_max,
+WX = [f"""wx AS (SELECT node, year, doy, rn AS rnet, u2, t_mean + gamma * (z - z_ref) AS t_mean, t_max + gamma * (z - z_ref) AS t_max,
         t_min + gamma * (z - z_ref) - greatest(concavity, 0.0) * calm AS t_min, greatest(p * exp(grad * (z - z_ref)), 0.0) AS p,
         {C.es(f"{C.TD} - 0.002 * (z - z_ref)")} AS ea, {C.PRES} AS pres
         FROM node_day JOIN nodes USING (node) JOIN months USING (month))"""]
 WSNOW = ["""wsx AS (SELECT *, CASE WHEN t_mean < 1.0 THEN p ELSE 0.0 END AS snow,
-        sum(CASE WHEN t_mean < 1.0 THEN p ELSE 0.0 END - 4.0 * greatest(t_mean, 0.0)) OVER (PARTITION BY node ORDER BY doy) AS cx FROM wx)""",
-         "wsm AS (SELECT *, cx - least(0.0, min(cx) OVER (PARTITION BY node ORDER BY doy)) AS swe FROM wsx)",
-         "wsn AS (SELECT *, p - snow + greatest(coalesce(lag(swe) OVER (PARTITION BY node ORDER BY doy), 0.0) + snow - swe, 0.0) AS liquid FROM wsm)"]
+        sum(CASE WHEN t_mean < 1.0 THEN p ELSE 0.0 END - 4.0 * greatest(t_mean, 0.0)) OVER (PARTITION BY node, year ORDER BY doy) AS cx FROM wx)""",
+         "wsm AS (SELECT *, cx - least(0.0, min(cx) OVER (PARTITION BY node, year ORDER BY doy)) AS swe FROM wsx)",
+         "wsn AS (SELECT *, p - snow + greatest(coalesce(lag(swe) OVER (PARTITION BY node, year ORDER BY doy), 0.0) + snow - swe, 0.0) AS liquid FROM wsm)"]
 SL = C.slope_es("t_mean")
-WPET = [f"""wpet AS (SELECT node, doy, liquid, unnest(['pm_fao56', 'priestley_taylor', 'energy_only']) AS pet_name, unnest([
+WPET = [f"""wpet AS (SELECT node, year, doy, liquid, unnest(['pm_fao56', 'priestley_taylor', 'energy_only']) AS pet_name, unnest([
         (0.408 * {SL} * rnet + 0.000665 * pres * (900.0 / (t_mean + 273.0)) * u2 * ({C.es('t_mean')} - ea)) / ({SL} + 0.000665 * pres * (1.0 + 0.34 * u2)),
         1.26 * {SL} / ({SL} + 0.000665 * pres) * rnet / 2.45, rnet / 2.45]) AS pet FROM wsn)"""]
 GRP = "(VALUES ('broadleaf', 120.0), ('oak', 150.0), ('pine', 90.0)) g(grp, depth)"
-WIN = [f"""win0 AS (SELECT node, grp, pet_name, row_number() OVER (PARTITION BY node, grp, pet_name ORDER BY doy) AS rn, pet, liquid,
+WIN = [f"""win0 AS (SELECT node, year, grp, pet_name, row_number() OVER (PARTITION BY node, year, grp, pet_name ORDER BY doy) AS rn, pet, liquid,
         (theta_fc - theta_lim) * depth AS w_max FROM wpet JOIN soilp USING (node), {GRP})"""]
-JOB = DAY + B.NODES + B.MONTHS + C.SOIL + WX + WSNOW + WPET + WIN + bucket_sql("win0", "node, grp, pet_name")
+JOB = DAY + B.NODES + B.MONTHS + C.SOIL + WX + WSNOW + WPET + WIN + bucket_sql("win0", "node, year, grp, pet_name")
 
 
 def job_weather(spark, sf, factors=None):
@@ -98,17 +99,17 @@ def job_capacity(spark, sf):
     return D.group_capacity(soil, groups), soil
 
 
-@query("job_node_water_balance", with_sql(JOB, f"""SELECT node, grp, pet_name, {q6('sum(pet - aet)', 4)} AS cwd,
+@query("job_node_water_balance", with_sql(JOB, f"""SELECT node, year, grp, pet_name, {q6('sum(pet - aet)', 4)} AS cwd,
     {q6('sum(greatest(0.0, (0.4 - rew) / 0.4))', 4)} AS wsi, {q6('min(psi_sat * pow(greatest(theta_lim + (theta_fc - theta_lim) * w / w_max, 1e-6) / theta_sat, -b))', 4)} AS psi_min
-    FROM bk JOIN soilp USING (node) GROUP BY node, grp, pet_name"""))
+    FROM bk JOIN soilp USING (node) GROUP BY node, year, grp, pet_name"""))
 def job_node_water_balance(spark, sf):
     cap, soil = job_capacity(spark, sf)
     w = WB.node_water_balance(job_weather(spark, sf), cap, soil)
-    return rnd(w.select("node", "grp", "pet_name", "cwd", "wsi", "psi_min"), 4)
+    return rnd(w.select("node", "year", "grp", "pet_name", "cwd", "wsi", "psi_min"), 4)
 
 
 @query("agg_annual_water", with_sql(JOB, f"""SELECT grp, pet_name, {q6('avg(cwd)', 4)} AS cwd, {q6('avg(wsi)', 4)} AS wsi, {q6('max(abs(err))', 6)} AS balance_error, count(*) AS n FROM (
-    SELECT node, grp, pet_name, sum(pet - aet) AS cwd, sum(greatest(0.0, (0.4 - rew) / 0.4)) AS wsi, 0.0 AS err FROM bk GROUP BY 1, 2, 3) GROUP BY 1, 2"""))
+    SELECT node, year, grp, pet_name, sum(pet - aet) AS cwd, sum(greatest(0.0, (0.4 - rew) / 0.4)) AS wsi, 0.0 AS err FROM bk GROUP BY 1, 2, 3, 4) GROUP BY 1, 2"""))
 def agg_annual_water(spark, sf):
     """Annual indices averaged per group and formulation, with the largest closure error of the bucket."""
     cap, soil = job_capacity(spark, sf)
@@ -120,43 +121,43 @@ def agg_annual_water(spark, sf):
 # ---- season windows -----------------------------------------------------------------------------------
 
 CUM = [f"cum AS (SELECT *, sum(greatest(t_mean - 5.0, 0.0)) OVER ({P_}) AS gdd_cum, avg(t_mean) OVER ({P_} ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING) AS rm FROM node_day)",
-       "warm AS (SELECT node, min(doy) AS warmest, max(rm) AS warmest_mean FROM (SELECT node, doy, rm, max(rm) OVER (PARTITION BY node) AS mx FROM cum) WHERE rm = mx GROUP BY node)"]
+       "warm AS (SELECT node, year, min(doy) AS warmest, max(rm) AS warmest_mean FROM (SELECT node, year, doy, rm, max(rm) OVER (PARTITION BY node, year) AS mx FROM cum) WHERE rm = mx GROUP BY node, year)"]
 
 
-@query("win_cum_gdd", with_sql(DAY + CUM, f"SELECT node, {bi('doy')} AS doy, {q6('gdd_cum')} AS gdd_cum FROM cum"))
+@query("win_cum_gdd", with_sql(DAY + CUM, f"SELECT node, year, {bi('doy')} AS doy, {q6('gdd_cum')} AS gdd_cum FROM cum"))
 def win_cum_gdd(spark, sf):
-    return rnd(Wn.cumulative_gdd(B.node_day(spark, sf), [N]).select("node", "doy", "gdd_cum"))
+    return rnd(Wn.cumulative_gdd(B.node_day(spark, sf), SERIES).select("node", "year", "doy", "gdd_cum"))
 
 
-@query("win_warmest_day", with_sql(DAY + CUM, f"SELECT node, {q6('warmest_mean')} AS warmest_mean FROM warm"))
+@query("win_warmest_day", with_sql(DAY + CUM, f"SELECT node, year, {bi('warmest')} AS warmest, {q6('warmest_mean')} AS warmest_mean FROM warm"))
 def win_warmest_day(spark, sf):
-    """Smoothed temperature of the warmest day (its date is used and tested through the late-frost count)."""
-    return rnd(Wn.warmest_day(B.node_day(spark, sf), [N]).select("node", "warmest_mean"))
+    """The warmest day of every year by its smoothed temperature."""
+    return rnd(Wn.warmest_day(B.node_day(spark, sf), SERIES).select("node", "year", "warmest", "warmest_mean"))
 
 
-@query("agg_gdd_gsl_gst", with_sql(DAY, f"""SELECT node, {q6('sum(greatest(t_mean - 5.0, 0.0))')} AS gdd, count(*) FILTER (WHERE t_mean >= 0.9) AS gsl,
-    {q6('avg(t_mean) FILTER (WHERE t_mean >= 0.9)')} AS gst FROM node_day GROUP BY node"""))
+@query("agg_gdd_gsl_gst", with_sql(DAY, f"""SELECT node, year, {q6('sum(greatest(t_mean - 5.0, 0.0))')} AS gdd, count(*) FILTER (WHERE t_mean >= 0.9) AS gsl,
+    {q6('avg(t_mean) FILTER (WHERE t_mean >= 0.9)')} AS gst FROM node_day GROUP BY node, year"""))
 def agg_gdd_gsl_gst(spark, sf):
-    return rnd(Wn.season_indices(B.node_day(spark, sf), [N]))
+    return rnd(Wn.season_indices(B.node_day(spark, sf), SERIES))
 
 
 FROST = "count(*) FILTER (WHERE gdd_cum >= 20.0 AND t_min < -2.0 AND doy <= warmest)"
 
 
-@query("agg_late_frost", with_sql(DAY + CUM, f"SELECT node, {FROST} AS late_frost_days FROM cum JOIN warm USING (node) GROUP BY node"))
+@query("agg_late_frost", with_sql(DAY + CUM, f"SELECT node, year, {FROST} AS late_frost_days FROM cum JOIN warm USING (node, year) GROUP BY node, year"))
 def agg_late_frost(spark, sf):
-    return rnd(Wn.late_frost(B.node_day(spark, sf), [N], F.lit(20.0)))
+    return rnd(Wn.late_frost(B.node_day(spark, sf), SERIES, F.lit(20.0)))
 
 
 @query("agg_late_frost_audit", with_sql(DAY + CUM, f"""SELECT count(*) AS n, count(*) FILTER (WHERE stored = a) AS n_spring, count(*) FILTER (WHERE stored = b) AS n_full,
     count(*) FILTER (WHERE stored <> a AND stored <> b) AS n_bad FROM (SELECT a, b, CASE WHEN node % 2 = 0 THEN a ELSE b END AS stored FROM (
-    SELECT node, {FROST} AS a, count(*) FILTER (WHERE gdd_cum >= 20.0 AND t_min < -2.0) AS b FROM cum JOIN warm USING (node) GROUP BY node))"""))
+    SELECT node, {FROST} AS a, count(*) FILTER (WHERE gdd_cum >= 20.0 AND t_min < -2.0) AS b FROM cum JOIN warm USING (node, year) GROUP BY node, year))"""))
 def agg_late_frost_audit(spark, sf):
     """Stored counts against the spring and the whole-record definition; raises when a count fits neither."""
     nd = B.node_day(spark, sf)
-    a = Wn.late_frost(nd, [N], F.lit(20.0)).withColumnRenamed("late_frost_days", "a")
-    b = Wn.late_frost(nd, [N], F.lit(20.0), spring_only=False).withColumnRenamed("late_frost_days", "b")
-    s = a.join(b, "node").withColumn("stored", F.when(F.col("node") % 2 == 0, F.col("a")).otherwise(F.col("b")))
+    a = Wn.late_frost(nd, SERIES, F.lit(20.0)).withColumnRenamed("late_frost_days", "a")
+    b = Wn.late_frost(nd, SERIES, F.lit(20.0), spring_only=False).withColumnRenamed("late_frost_days", "b")
+    s = a.join(b, SERIES).withColumn("stored", F.when(F.col("node") % 2 == 0, F.col("a")).otherwise(F.col("b")))
     bad = (F.col("stored") != F.col("a")) & (F.col("stored") != F.col("b"))
     out = s.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("stored") == F.col("a")).alias("n_spring"),
                 F.count_if(F.col("stored") == F.col("b")).alias("n_full"), F.count_if(bad).alias("n_bad"))
@@ -164,14 +165,14 @@ def agg_late_frost_audit(spark, sf):
 
 
 @query("agg_sensitivity_sweep", with_sql(DAY + CUM + ["par AS (SELECT 'gdd_budburst' AS param, unnest([10.0, 20.0, 40.0]) AS val)"],
-    f"SELECT param, {q6('val')} AS val, {q6('avg(f)')} AS late_frost_days FROM (SELECT param, val, node, count(*) FILTER (WHERE gdd_cum >= val AND t_min < -2.0 AND doy <= warmest) AS f FROM cum JOIN warm USING (node), par GROUP BY 1, 2, 3) GROUP BY 1, 2"))
+    f"SELECT param, {q6('val')} AS val, {q6('avg(f)')} AS late_frost_days FROM (SELECT param, val, node, year, count(*) FILTER (WHERE gdd_cum >= val AND t_min < -2.0 AND doy <= warmest) AS f FROM cum JOIN warm USING (node, year), par GROUP BY 1, 2, 3, 4) GROUP BY 1, 2"))
 def agg_sensitivity_sweep(spark, sf):
     """Late frost under a grid of budburst thresholds: the series is scanned once, the values ride along as an array."""
     values = [10.0, 20.0, 40.0]
-    d = Wn.cumulative_gdd(B.node_day(spark, sf), [N])
-    d = d.join(Wn.warmest_day(B.node_day(spark, sf), [N]), N)
+    d = Wn.cumulative_gdd(B.node_day(spark, sf), SERIES)
+    d = d.join(Wn.warmest_day(B.node_day(spark, sf), SERIES), SERIES)
     hits = [F.count_if((F.col("gdd_cum") >= v) & (F.col("t_min") < -2.0) & (F.col("doy") <= F.col("warmest"))).alias(f"v{i}") for i, v in enumerate(values)]
-    per = d.groupBy(N).agg(*hits)
+    per = d.groupBy(*SERIES).agg(*hits)
     rows = F.explode(F.array(*[F.struct(F.lit("gdd_budburst").alias("param"), F.lit(v).alias("val"), F.col(f"v{i}").alias("f")) for i, v in enumerate(values)]))
     per = per.select(rows.alias("r"))
     return rnd(per.groupBy("r.param", "r.val").agg(F.avg("r.f").alias("late_frost_days")))
@@ -179,46 +180,46 @@ def agg_sensitivity_sweep(spark, sf):
 
 # ---- failure index ---------------------------------------------------------------------------------------
 
-FIN = [f"""fin AS (SELECT node, doy, t_max, -0.3 - CASE WHEN n = 0 THEN 2.0 ELSE 2.0 / n END + v / 400.0 AS psi_soil, 86400.0 * 3.0 * pow(1.2, (least(t_max, 38.0) - 25.0) / 10.0) * pow(4.8, greatest(t_max - 38.0, 0.0) / 10.0)
+FIN = [f"""fin AS (SELECT node, year, doy, t_max, -0.3 - CASE WHEN n = 0 THEN 2.0 ELSE 2.0 / n END + v / 400.0 AS psi_soil, 86400.0 * 3.0 * pow(1.2, (least(t_max, 38.0) - 25.0) / 10.0) * pow(4.8, greatest(t_max - 38.0, 0.0) / 10.0)
         * greatest(0.5 * ({C.es('t_max')} + {C.es('t_min')}) - {C.EA}, 0.0) / 90.0 AS loss,
         greatest(0.5 * ({C.es('t_max')} + {C.es('t_min')}) - {C.EA}, 0.0) AS vpd24 FROM node_day)""",
-       "fcl AS (SELECT *, psi_soil <= -1.0 AS closed, row_number() OVER (PARTITION BY node ORDER BY doy) - row_number() OVER (PARTITION BY node, psi_soil <= -1.0 ORDER BY doy) AS isl FROM fin)",
-       "fac AS (SELECT *, CASE WHEN closed THEN sum(loss) OVER (PARTITION BY node, closed, isl ORDER BY doy) ELSE 0.0 END AS acc FROM fcl)"]
+       "fcl AS (SELECT *, psi_soil <= -1.0 AS closed, row_number() OVER (PARTITION BY node, year ORDER BY doy) - row_number() OVER (PARTITION BY node, year, psi_soil <= -1.0 ORDER BY doy) AS isl FROM fin)",
+       "fac AS (SELECT *, CASE WHEN closed THEN sum(loss) OVER (PARTITION BY node, year, closed, isl ORDER BY doy) ELSE 0.0 END AS acc FROM fcl)"]
 
 
 def failure_in(spark, sf):
     d = B.node_day(spark, sf)
     psi = F.lit(-0.3) - F.when(F.col("n") == 0, 2.0).otherwise(F.lit(2.0) / F.nullif(F.col("n"), F.lit(0.0))) + F.col("v") / 400.0
     vpd = X.vpd_whole_day("t_max", "t_min", X.vp_from_humidity("rh", "t_mean"))
-    return d.select("node", "doy", "t_max", psi.alias("psi_soil"), vpd.alias("vpd24"), H.daily_loss("t_max", vpd, F.lit(90.0), F.lit(3.0), F.lit(38.0)).alias("loss"))
+    return d.select("node", "year", "doy", "t_max", psi.alias("psi_soil"), vpd.alias("vpd24"), H.daily_loss("t_max", vpd, F.lit(90.0), F.lit(3.0), F.lit(38.0)).alias("loss"))
 
 
-@query("scan_failure_index", with_sql(DAY + FIN, f"""SELECT node, {q6('max(acc / 20000.0)', 4)} AS hfi_max, {bi('min(doy) FILTER (WHERE closed)')} AS first_closed,
-    {bi('min(doy) FILTER (WHERE acc / 20000.0 >= 1.0)')} AS first_failure FROM fac GROUP BY node"""))
+@query("scan_failure_index", with_sql(DAY + FIN, f"""SELECT node, year, {q6('max(acc / 20000.0)', 4)} AS hfi_max, {bi('min(doy) FILTER (WHERE closed)')} AS first_closed,
+    {bi('min(doy) FILTER (WHERE acc / 20000.0 >= 1.0)')} AS first_failure FROM fac GROUP BY node, year"""))
 def scan_failure_index(spark, sf):
     d = failure_in(spark, sf).withColumn("psi_close", F.lit(-1.0)).withColumn("buffer", F.lit(20000.0))
-    return rnd(scans.failure_summary(scans.failure_index(d, [N]), [N]), 4)
+    return rnd(scans.failure_summary(scans.failure_index(d, SERIES), SERIES), 4)
 
 
 @query("agg_spell_summary", with_sql(DAY + FIN + [
-    "rn0 AS (SELECT node, isl, closed, count(*) AS n, min(doy) AS s, avg(vpd24) AS v, avg(t_max) AS t FROM fcl GROUP BY 1, 2, 3)",
-    "pk AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY closed DESC, n DESC, s) AS k FROM rn0)"],
-    f"""SELECT node, CASE WHEN closed THEN n ELSE 0 END AS longest_spell, {q6('CASE WHEN closed THEN v ELSE 0.0 END')} AS spell_vpd, {q6('CASE WHEN closed THEN t ELSE 0.0 END')} AS spell_t,
-    (SELECT coalesce({bi('sum(n)')}, 0) FROM rn0 r WHERE r.node = pk.node AND r.closed) AS n_closed FROM pk WHERE k = 1"""))
+    "rn0 AS (SELECT node, year, isl, closed, count(*) AS n, min(doy) AS s, avg(vpd24) AS v, avg(t_max) AS t FROM fcl GROUP BY 1, 2, 3, 4)",
+    "pk AS (SELECT *, row_number() OVER (PARTITION BY node, year ORDER BY closed DESC, n DESC, s) AS k FROM rn0)"],
+    f"""SELECT node, year, CASE WHEN closed THEN n ELSE 0 END AS longest_spell, {q6('CASE WHEN closed THEN v ELSE 0.0 END')} AS spell_vpd, {q6('CASE WHEN closed THEN t ELSE 0.0 END')} AS spell_t,
+    (SELECT coalesce({bi('sum(n)')}, 0) FROM rn0 r WHERE r.node = pk.node AND r.year = pk.year AND r.closed) AS n_closed FROM pk WHERE k = 1"""))
 def agg_spell_summary(spark, sf):
     d = failure_in(spark, sf).withColumn("closed", F.col("psi_soil") <= -1.0)
-    return rnd(scans.spell_summary(d, [N]))
+    return rnd(scans.spell_summary(d, SERIES))
 
 
 @query("jn_threshold_curve", with_sql(DAY + FIN + [
-    "th AS (SELECT DISTINCT node, psi_soil AS t FROM fin)",
-    "tc AS (SELECT th.node, th.t, doy, loss, psi_soil <= th.t AS c, row_number() OVER (PARTITION BY th.node, th.t ORDER BY doy) - row_number() OVER (PARTITION BY th.node, th.t, psi_soil <= th.t ORDER BY doy) AS isl FROM th JOIN fin USING (node))"],
-    f"SELECT node, {q6('t', 8)} AS t, {q6('max(a)', 3)} AS m FROM (SELECT node, t, sum(loss) AS a FROM tc WHERE c GROUP BY node, t, isl) GROUP BY node, t"))
+    "th AS (SELECT DISTINCT node, year, psi_soil AS t FROM fin)",
+    "tc AS (SELECT th.node, th.year, th.t, doy, loss, psi_soil <= th.t AS c, row_number() OVER (PARTITION BY th.node, th.year, th.t ORDER BY doy) - row_number() OVER (PARTITION BY th.node, th.year, th.t, psi_soil <= th.t ORDER BY doy) AS isl FROM th JOIN fin USING (node, year))"],
+    f"SELECT node, year, {q6('t', 8)} AS t, {q6('max(a)', 3)} AS m FROM (SELECT node, year, t, sum(loss) AS a FROM tc WHERE c GROUP BY node, year, t, isl) GROUP BY node, year, t"))
 def jn_threshold_curve(spark, sf):
     """The step curve of every node, one row per step."""
-    c = scans.threshold_curve(failure_in(spark, sf), [N])
-    c = c.select("node", F.explode("curve").alias("s"))
-    return rnd(c.select("node", F.col("s.t").alias("t"), F.col("s.m").alias("m")), 8, m=3)
+    c = scans.threshold_curve(failure_in(spark, sf), SERIES)
+    c = c.select("node", "year", F.explode("curve").alias("s"))
+    return rnd(c.select("node", "year", F.col("s.t").alias("t"), F.col("s.m").alias("m")), 8, m=3)
 
 
 # ---- draws ---------------------------------------------------------------------------------------------------
@@ -260,20 +261,20 @@ def src_draw_table(spark, sf):
 
 
 @query("agg_failure_probability", with_sql(DAY + FIN + draws_sql(20, 50) + [
-    "th AS (SELECT DISTINCT node, psi_soil AS t FROM fin)",
-    "tc AS (SELECT th.node, th.t, doy, loss, psi_soil <= th.t AS c, row_number() OVER (PARTITION BY th.node, th.t ORDER BY doy) - row_number() OVER (PARTITION BY th.node, th.t, psi_soil <= th.t ORDER BY doy) AS isl FROM th JOIN fin USING (node))",
-    "cv AS (SELECT node, t, max(a) AS m FROM (SELECT node, t, sum(loss) AS a FROM tc WHERE c GROUP BY node, t, isl) GROUP BY node, t)",
+    "th AS (SELECT DISTINCT node, year, psi_soil AS t FROM fin)",
+    "tc AS (SELECT th.node, th.year, th.t, doy, loss, psi_soil <= th.t AS c, row_number() OVER (PARTITION BY th.node, th.year, th.t ORDER BY doy) - row_number() OVER (PARTITION BY th.node, th.year, th.t, psi_soil <= th.t ORDER BY doy) AS isl FROM th JOIN fin USING (node, year))",
+    "cv AS (SELECT node, year, t, max(a) AS m FROM (SELECT node, year, t, sum(loss) AS a FROM tc WHERE c GROUP BY node, year, t, isl) GROUP BY node, year, t)",
     "ng AS (SELECT node, n_name AS grp FROM users JOIN nation ON n_nationkey = node % 25)",
-    "hit AS (SELECT ng.node, d.grp, outer_draw, inner_draw, bool_or(t <= psi_close AND m >= buffer) AS f FROM ng JOIN draws d USING (grp) JOIN cv USING (node) GROUP BY 1, 2, 3, 4)",
-    "byd AS (SELECT node, grp, outer_draw, avg(CASE WHEN f THEN 1.0 ELSE 0.0 END) AS h FROM hit GROUP BY 1, 2, 3)"],
-    f"SELECT node, grp, {q6('avg(h)')} AS h_mean, {q6('min(h)')} AS h_min, {q6('max(h)')} AS h_max, {q6('stddev_pop(h)')} AS h_sd FROM byd GROUP BY 1, 2"))
+    "hit AS (SELECT ng.node, year, d.grp, outer_draw, inner_draw, bool_or(t <= psi_close AND m >= buffer) AS f FROM ng JOIN draws d USING (grp) JOIN cv USING (node) GROUP BY 1, 2, 3, 4, 5)",
+    "byd AS (SELECT node, year, grp, outer_draw, avg(CASE WHEN f THEN 1.0 ELSE 0.0 END) AS h FROM hit GROUP BY 1, 2, 3, 4)"],
+    f"SELECT node, year, grp, {q6('avg(h)')} AS h_mean, {q6('min(h)')} AS h_min, {q6('max(h)')} AS h_max, {q6('stddev_pop(h)')} AS h_sd FROM byd GROUP BY 1, 2, 3"))
 def agg_failure_probability(spark, sf):
     """Yearly probability of failure of every node under its group's draws."""
-    curves = scans.threshold_curve(failure_in(spark, sf), [N])
+    curves = scans.threshold_curve(failure_in(spark, sf), SERIES)
     grp = B.table(spark, sf, "nation").select((F.col("n_nationkey")).alias("_k"), F.col("n_name").alias("grp"))
     curves = curves.join(grp, F.col("node") % 25 == F.col("_k")).drop("_k")
     d = Dr.trait_draws(spark, nation_traits(spark, sf), {"p50": "p50_sd", "slope": "slope_sd"}, outer=20, inner=50)
-    return rnd(Dr.failure_probability(Dr.failure_by_draw(curves, d, [N]), [N]))
+    return rnd(Dr.failure_probability(Dr.failure_by_draw(curves, d, SERIES), SERIES))
 
 
 # ---- monthly cycle ---------------------------------------------------------------------------------------------

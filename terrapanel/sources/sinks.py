@@ -10,10 +10,15 @@ from pyspark.sql import types as T
 
 from terrapanel.functions.numeric import finite
 
+RECORDS = 5_000_000  # at most so many rows in a file
+
 
 def write_results(df: DataFrame, path: str, grain: Sequence[str], mode: str = "overwrite") -> None:
-    """Parquet, one folder per value of the grain; rows of a folder are gathered first, so it holds few files."""
-    df.repartition(*grain).sortWithinPartitions(*grain).write.partitionBy(*grain).mode(mode).parquet(path)
+    """Parquet, one folder per value of the grain; rows of a folder are gathered first, so it holds few files.
+
+    Partitions are rebalanced by size: a value with many rows is dealt to several tasks.
+    """
+    df.hint("rebalance", *[F.col(g) for g in grain]).sortWithinPartitions(*grain).write.option("maxRecordsPerFile", RECORDS).partitionBy(*grain).mode(mode).parquet(path)
 
 
 def clean_numbers(df: DataFrame, places: dict[str, int] | None = None) -> DataFrame:

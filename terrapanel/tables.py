@@ -33,10 +33,12 @@ def session(app: str = "terrapanel", master: str | None = None, **conf) -> Spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a fresh temporary one only where none is set (tests)."""
+    """The shared folder named in spark.checkpoint.dir; a fresh temporary one only where none is set and Spark runs locally."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current is None:
+        if not (spark.conf.get("spark.checkpoint.dir", None) or sc.master.startswith("local")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         current = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(
             prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
         sc.setCheckpointDir(current)
