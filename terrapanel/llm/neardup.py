@@ -265,7 +265,7 @@ def links(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     place = F.xxhash64("node", "doc_id").alias("place")  # so that copies of one text lie apart
     wanted = stored(wanted.join(nodes.select("node", "doc_id"), "node").select("node", place))
-    texts = _node(docs).select("node", place, "text").join(wanted, ["node", "place"]).dropDuplicates(["node", "place"])
+    texts = _node(docs).select("node", place, "text").join(wanted.hint("merge"), ["node", "place"]).dropDuplicates(["node", "place"])
     return verified(pairs, stored(weighed(texts, n, frequent)), similar)
 
 
