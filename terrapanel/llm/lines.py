@@ -10,6 +10,8 @@ enough words.
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,19 +67,24 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return runs.select("doc_id", "tid", F.explode(F.sequence("lo", "hi")).alias("pos")).distinct()
 
 
-def _joined(docs: DataFrame, min_words: int) -> DataFrame:
-    """``docs`` with the text rebuilt and two more columns of names that ``docs`` doesn't use."""
+def _joined(docs: DataFrame, columns: list[str], min_words: int) -> DataFrame:
+    """The ``columns`` of ``docs`` and, last, the places of the lines to delete (null if none)."""
     gone = stored(later_copies(docs, min_words).groupBy("doc_id", "tid").agg(F.collect_list("pos").alias("gone")))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("text").alias("tid"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("tid"))
     gone = gone.select("doc_id", F.col("tid").alias("t"), "gone")
-    return rows.join(gone, F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("tid") == F.col("t")), "left").select("row", "gone")
+    both = rows.join(gone, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("tid") == F.col("t")), "left")
+    return both.select(*[F.col(f"row.`{c}`").alias(c) for c in columns], F.col("gone").alias("".join(columns) + "gone"))
 
 
-def _rebuilt() -> Column:
-    """The text of ``row`` without the lines in ``gone``."""
-    lines = F.split("row.text", "\n")
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone"), lambda i: lines[i])
-    return F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(left, "\n"))
+def rebuilt(text: str | None, gone: list[int] | None) -> tuple[str | None, int]:
+    """(the text without the lines at ``gone``, how many lines it had)."""
+    if text is None:
+        return None, 0
+    lines = text.split("\n")
+    if gone:
+        drop = {*gone}
+        return "\n".join([x for i, x in enumerate(lines) if i not in drop]), len(lines)
+    return text, len(lines)
 
 
 def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -88,15 +95,33 @@ def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     text stays null without lines. Rows that agree in id and text are one document and get the same result each; other
     columns are ignored.
     """
-    lines = F.when(F.col("row.text").isNull(), 0).otherwise(F.size(F.split("row.text", "\n")))
-    return _joined(docs, min_words).select("row.doc_id", _rebuilt().alias("text"), lines.cast("long").alias("n_lines"),
-                                           F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_deleted"))
+    def run(batches):
+        for batch in batches:
+            ids, texts, gone = batch.columns
+            made = [rebuilt(t, g) for t, g in zip(texts.to_pylist(), gone.to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [ids, pa.array([t for t, _ in made], pa.string()), pa.array([n for _, n in made], pa.int64()), pc.cast(pc.fill_null(pc.list_value_length(gone), 0), pa.int64())],
+                ["doc_id", "text", "n_lines", "n_deleted"])
+
+    rows = _joined(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), ["doc_id", "text"], min_words)
+    return rows.mapInArrow(run, "doc_id bigint, text string, n_lines bigint, n_deleted bigint")
 
 
 def cleaned(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The rows of ``docs`` with their texts (and n_chars, if there) after deletion; a text of which no word is left goes."""
-    both = _joined(docs, min_words).withColumn("text", _rebuilt())
-    both = both.where(F.col("gone").isNull() | F.col("text").rlike(r"\S"))
-    kind = dict(docs.dtypes)
-    made = {"text": F.col("text"), **({"n_chars": F.when(F.col("gone").isNull(), F.col("row.n_chars")).otherwise(F.length("text")).cast(kind["n_chars"])} if "n_chars" in kind else {})}
-    return both.select(*[made.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    columns = docs.columns
+    at, count = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else None
+
+    def run(batches):
+        for batch in batches:
+            *own, gone = batch.columns
+            texts = [rebuilt(t, g)[0] for t, g in zip(own[at].to_pylist(), gone.to_pylist(), strict=True)]
+            touched = [g is not None for g in gone.to_pylist()]
+            if count is not None:
+                sizes = [len(t) if hit else n for t, hit, n in zip(texts, touched, own[count].to_pylist(), strict=True)]
+                own[count] = pa.array(sizes, own[count].type)
+            own[at] = pa.array(texts, pa.string())
+            keep = pa.array([not hit or bool(t.strip()) for t, hit in zip(texts, touched, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays(own, columns).filter(keep)
+
+    return _joined(docs, columns, min_words).mapInArrow(run, docs.schema)

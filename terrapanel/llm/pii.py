@@ -58,11 +58,15 @@ def accepted(kind: Column, span: Column) -> Column:
 
 
 def _matches(text: Column, kind: str, pattern: str) -> Column:
-    """Array of (kind, i, gap, span, before, after): gap is the length of the text since the last match."""
+    """Array of (kind, i, gap, span, before, after): gap is the length of the text since the last match.
+
+    Spans and gaps are zipped, so that no element's lambda splits the text again.
+    """
     spans, gaps = F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern, -1)
-    return F.transform(spans, lambda s, i: F.struct(
-        F.lit(kind).alias("kind"), i.alias("i"), F.length(gaps[i]).alias("gap"), s.alias("span"),
-        F.lower(F.right(gaps[i], F.lit(CONTEXT))).alias("before"), F.left(gaps[i + 1], F.lit(1)).alias("after")))
+    each = F.arrays_zip(spans.alias("span"), gaps.alias("gap"), F.slice(gaps, F.lit(2), F.size(gaps)).alias("next"))
+    return F.transform(F.filter(each, lambda z: z["span"].isNotNull()), lambda z, i: F.struct(
+        F.lit(kind).alias("kind"), i.alias("i"), F.length(z["gap"]).alias("gap"), z["span"].alias("span"),
+        F.lower(F.right(z["gap"], F.lit(CONTEXT))).alias("before"), F.left(z["next"], F.lit(1)).alias("after")))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
