@@ -1,6 +1,6 @@
 """Operator 10: toxicity grades by cumulative-link ordinal regression.
 
-Labels say toxic or not. Word beginnings that labelled toxic texts have and others lack are the evidence; a toxic text's grade
+Labels say toxic or not. Word beginnings that labelled toxic texts have, or have often, and others don't are the evidence; a toxic text's grade
 (1 to 3) follows from its share of evident words, cut at the thirds of all toxic texts, and other texts have grade 0. The
 model has one weight per feature and ordered thresholds: P(grade <= g) = 1 / (1 + exp(w x - t_g)).
 """
@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +23,8 @@ BUCKETS = 1 << 20
 FEATURES = 512  # beginnings kept as evidence
 SAMPLE = 30_000  # labelled ids the model is fitted on, those with the smallest hashes
 GRADES = 3
+CHANCE = 10_000_000.0
+OFTEN = 0.007  # share of a text's words from which a beginning counts as frequent there, a feature of its own
 SHARES = [0.0, 0.005, 0.01, 0.015, 0.02, 0.025, 0.03, 0.05]  # levels of the share of evident words
 SCHEMA = "doc_id bigint, severity double, p_toxic double, toxic boolean"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -36,7 +39,7 @@ def beginnings(word: str) -> list[int]:
 
 @dataclass(frozen=True)
 class Model:
-    """``place``: feature numbers by bucket; ``weights`` of features and share levels; ascending ``thresholds``."""
+    """``place``: feature numbers by 2 * bucket, plus 1 for a frequent beginning; ``weights`` of features and share levels; ascending ``thresholds``."""
 
     place: dict[int, int]
     weights: np.ndarray
@@ -48,28 +51,39 @@ class Reader:
 
     def __init__(self, place: dict[int, int]):
         self.place, self.plain, self.evident = place, set(), {}
+        self.buckets = {k // 2 for k in place}
 
     def read(self, text: str | None) -> tuple[set[int], float]:
-        """(features present, share of evident words)."""
+        """(features present, share of words that are evidence)."""
         words = _WORD.findall((text or "").lower())
         new = {*words} - self.plain
         if not new:
             return set(), 0.0
         if len(self.plain) > KNOWN:
             self.plain.clear()
-        found: set[int] = set()
+        here: dict[str, list[int]] = {}
         for w in new:
-            if w not in self.evident:
-                at = [self.place[b] for b in beginnings(w) if b in self.place]
+            at = self.evident.get(w)
+            if at is None:
+                at = [b for b in beginnings(w) if b in self.buckets]
                 if not at:
                     self.plain.add(w)
                     continue
                 if len(self.evident) > KNOWN:
                     self.evident.clear()
                 self.evident[w] = at
-            found.update(self.evident[w])
-        evident = self.evident
-        return found, sum(w in evident for w in words) / len(words) if found else 0.0
+            here[w] = at
+        if not here:
+            return set(), 0.0
+        told = Counter(w for w in words if w in here)
+        count: Counter = Counter()
+        for w, c in told.items():
+            for b in here[w]:
+                count[b] += c
+        active = {2 * b for b in count} | {2 * b + 1 for b, c in count.items() if c >= OFTEN * len(words)}
+        found = {self.place[k]: k // 2 for k in active if k in self.place}
+        buckets = {*found.values()}
+        return {*found}, sum(c for w, c in told.items() if not buckets.isdisjoint(here[w])) / len(words)
 
 
 _READERS: dict[str, Reader] = {}
@@ -88,12 +102,17 @@ def _columns(found: set[int], share: float, n: int) -> list[int]:
 
 
 def evidence(labelled: DataFrame) -> dict[int, int]:
-    """The buckets that mark toxic texts, most telling first."""
+    """The features that mark toxic texts, most telling first."""
     def count(toxic: list, texts: list) -> dict:
-        total = np.zeros((2, BUCKETS), np.int32)
+        total = np.zeros((2, 2 * BUCKETS), np.int32)
         for y, t in zip(toxic, texts, strict=True):
-            own = {b for w in {*_WORD.findall((t or "").lower())} for b in beginnings(w)}
-            total[int(y), list(own)] += 1
+            words = _WORD.findall((t or "").lower())
+            own: Counter = Counter()
+            for w, c in Counter(words).items():
+                for b in beginnings(w):
+                    own[b] += c
+            total[int(y), [2 * b for b in own]] += 1
+            total[int(y), [2 * b + 1 for b, c in own.items() if c >= OFTEN * len(words)]] += 1
         at = np.flatnonzero(total.any(axis=0))
         return {"bucket": at.astype("int32"), "clean": total[0, at], "toxic": total[1, at]}
 
@@ -104,8 +123,9 @@ def evidence(labelled: DataFrame) -> dict[int, int]:
         return {}
     sums = rows.groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
-    # far more often in toxic texts, and too often there for chance
-    telling = sums.withColumn("odds", odds).where((F.col("odds") > np.log(8.0)) & (F.col("toxic") >= F.greatest(F.lit(3), F.lit(0.002 * toxic))))
+    # far more often in toxic texts, and in so many that chance alone leaves hardly any such beginning among CHANCE of them
+    least = np.log(CHANCE) / np.log((toxic + clean) / toxic)
+    telling = sums.withColumn("odds", odds).where((F.col("odds") > float(np.log(8.0))) & (F.col("toxic") >= float(least)))
     best = telling.orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "bucket").limit(FEATURES).collect()
     return {r.bucket: k for k, r in enumerate(best)}
 
