@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -120,8 +121,13 @@ def select_dataset(tables: dict[str, DataFrame], full: int, minimum: float = 0.9
 
 
 def audit_files(spark: SparkSession, manifest: DataFrame, directory: str, pattern: str = "*") -> DataFrame:
-    """Manifest rows (path, checksum) with the recomputed sha256 and a status: ok, changed or missing."""
+    """Manifest rows (path, checksum) with the recomputed sha256 and a status: ok, changed or missing.
+
+    ``path`` is relative to ``directory``, so equal names in two folders stay apart.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(directory)
-    f = files.select(F.element_at(F.split("path", "/"), -1).alias("path"), F.sha2("content", 256).alias("actual"), F.col("length").alias("bytes"))
+    place = re.sub(r"^[a-z0-9]+:(//[^/]*)?", "", directory).rstrip("/") + "/"
+    relative = F.col("path").substr(F.instr("path", place) + len(place), F.length("path"))
+    f = files.select(relative.alias("path"), F.sha2("content", 256).alias("actual"), F.col("length").alias("bytes"))
     j = manifest.join(f, "path", "left")
     return j.withColumn("status", F.when(F.col("actual").isNull(), "missing").when(F.col("actual") == F.col("checksum"), "ok").otherwise("changed"))

@@ -147,3 +147,15 @@ def test_block_folds_cover_every_row_once(spark):
     s = splits.block_kfold(d, "id", "x", "y", 20.0, 4).collect()
     tests = [r["id"] for r in s if r["role"] == "test"]
     assert sorted(tests) == list(range(200)) and len(s) == 800
+
+
+def test_years_of_a_node_stay_apart(spark):
+    """Two years with the same days: each is its own series, and a key without the year is refused."""
+    rows = [(1, y, d, 5.0, 2.0 * (y - 2000), 1.0, 50.0) for y in (2001, 2002) for d in range(1, 366)]
+    d = spark.createDataFrame(rows, "node long, year long, doy int, t_mean double, p double, pet double, w_max double")
+    keys = ["node", "year"]
+    got = {r["year"]: r for r in scans.soil_bucket_annual(scans.snowpack(d, keys), keys).collect()}
+    alone = scans.soil_bucket_annual(scans.snowpack(d.filter("year = 2001"), keys), keys).first()
+    assert set(got) == {2001, 2002} and got[2001]["aet"] == alone["aet"] and got[2002]["drainage"] > got[2001]["drainage"]
+    with pytest.raises(Exception, match="more than 366 days"):
+        scans.soil_bucket_annual(scans.snowpack(d, ["node"]), ["node"]).collect()

@@ -113,3 +113,12 @@ def test_guards(spark):
         joins.protected_flag(p, spark.createDataFrame([(9, 9, 1)], "row long, col long, value int"), "x", "y", 0.0, 10.0, 1.0).collect()
     s = spark.createDataFrame([(float(i),) for i in range(5)], "s double")
     assert scores.conformal_quantile(s, "s", 0.1).first()["q"] == math.inf
+
+
+def test_chi_square_of_three_variables_at_any_distance(spark):
+    xs = [0.0, 0.5, 1.0, 5.0, 12.0, 13.0, 27.0, 28.0, 30.0, 34.0, 60.0, 100.0, 700.0]
+    d = spark.createDataFrame([(x,) for x in xs], "x double").select("x", Sp.chi_square_cdf("x", 3).alias("p"), Sp.chi_square_cdf("x", 1).alias("q"))
+    got = {r.x: (r.p, r.q) for r in d.collect()}
+    for x in xs:
+        tail = math.sqrt(2 * x / math.pi) * math.exp(-x / 2)
+        assert got[x] == pytest.approx((math.erf(math.sqrt(x / 2)) - tail, math.erf(math.sqrt(x / 2))), abs=1e-12)

@@ -75,7 +75,7 @@ def test_exports_and_audit(spark, tmp_path):
 
 def test_entry(spark):
     df = entry.entry(spark)
-    assert df.columns == ["node", "cwd", "wsi", "aet", "drainage"] and df.count() > 0
+    assert df.columns == ["node", "year", "cwd", "wsi", "aet", "drainage"] and df.count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) >= 266
 
 
