@@ -54,7 +54,7 @@ def document_frequencies(docs: DataFrame) -> tuple[int, dict[str, np.ndarray]]:
     """(texts with words, frequent shingles and their document frequencies): those in at least one in RARE texts.
 
     All shingles of all texts are counted. Tasks send sorted, counted blocks, dealt by ranges of the hash that hold about
-    BUCKET shingles each; differences of neighbours take four bytes.
+    BUCKET shingles each; differences of neighbours take four bytes, or eight where a block has a large one.
     """
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(1, -(-int(chars) // (6 * BUCKET)))
@@ -72,22 +72,20 @@ def document_frequencies(docs: DataFrame) -> tuple[int, dict[str, np.ndarray]]:
                 cuts = np.r_[0, np.searchsorted(h, edges), len(h)]
                 rows = {"bucket": [], "first": [], "step": [], "count": []}
                 for b, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                    while i < j:  # a step beyond 32 bits starts a new row
+                    if i < j:
                         steps = np.diff(h[i:j])
-                        far = np.flatnonzero(steps >> np.uint64(32))
-                        k = int(i + far[0] + 1) if len(far) else j
                         rows["bucket"].append(b)
                         rows["first"].append(int(h[i]))
-                        rows["step"].append(steps[: k - i - 1].astype("<u4").tobytes())
-                        rows["count"].append(many[i:k].astype("<u4").tobytes())
-                        i = k
+                        rows["step"].append(steps.astype("<u8" if (steps >> np.uint64(32)).any() else "<u4").tobytes())
+                        rows["count"].append(many[i:j].astype("<u4").tobytes())
                 yield pa.RecordBatch.from_pydict(rows, schema=schema)
 
     def total(key, table):
         hashes, counts = [], []
         for first, step, count in zip(*(table.column(c).to_pylist() for c in ("first", "step", "count")), strict=True):
-            hashes.append(np.cumsum(np.r_[np.uint64(first), np.frombuffer(step, "<u4").astype(np.uint64)], dtype=np.uint64))
             counts.append(np.frombuffer(count, "<u4").astype(np.int64))
+            width = len(step) // max(1, len(counts[-1]) - 1) or 4
+            hashes.append(np.cumsum(np.r_[np.uint64(first), np.frombuffer(step, f"<u{width}").astype(np.uint64)], dtype=np.uint64))
         h, c = np.concatenate(hashes), np.concatenate(counts)
         order = np.argsort(h, kind="stable")
         h, c = h[order], c[order]
