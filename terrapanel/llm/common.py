@@ -36,6 +36,16 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hashed_sample(rows: DataFrame, key: str, n: int, size: int) -> DataFrame:
+    """At most ``size`` of ``n`` rows: those with the smallest values of ``key``, a 64-bit hash.
+
+    Rows far beyond the expected place are left out first, so tasks send about twice ``size`` rows in all, not that many each.
+    """
+    if n > 2 * size:
+        rows = rows.where(F.shiftrightunsigned(key, 1) < int(2 * size / n * 2**63))
+    return rows.orderBy(F.shiftrightunsigned(key, 1), key).limit(size)
+
+
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of the id as text leaves 1 when divided by 3; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))

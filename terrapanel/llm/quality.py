@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrapanel.llm import words
-from terrapanel.llm.common import map_texts, slices, stored
+from terrapanel.llm.common import hashed_sample, map_texts, slices, stored
 
 BUCKETS = 4096
 SAMPLE = 20_000  # texts the scorer is fitted on, those with the smallest hashes of id and text; the labellers' accuracies use all
@@ -173,7 +173,8 @@ def fit(docs: DataFrame) -> np.ndarray:
     codes = np.array([[int(c) for c in r.votes] for r in patterns])
     prior, table = accuracies(codes, np.array([r["count"] for r in patterns], float))
     label = dict(zip((r.votes for r in patterns), posterior(codes, prior, table).tolist(), strict=True))
-    sample = rows.where(F.col("votes") != silent).orderBy("key", "votes").limit(SAMPLE).collect()
+    voted = sum(r["count"] for r in patterns)
+    sample = sorted(hashed_sample(rows.where(F.col("votes") != silent), "key", voted, SAMPLE).collect(), key=lambda r: (r.key, r.votes))
     return _fit(sample, np.array([label[r.votes] for r in sample]))
 
 

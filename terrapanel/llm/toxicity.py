@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrapanel.llm.common import map_texts, stored
+from terrapanel.llm.common import hashed_sample, map_texts, stored
 
 BUCKETS = 1 << 20
 FEATURES = 512  # beginnings kept as evidence
@@ -159,7 +159,8 @@ def _fit(rows: list[list[int]], grade: np.ndarray, n: int, rounds: int = 400, ra
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on the texts of at most ``SAMPLE`` labelled ids. Without both kinds of labels: all severities 0."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    sample = known.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(SAMPLE)
+    known = known.withColumn("key", F.xxhash64("doc_id", F.lit(7)))
+    sample = hashed_sample(known, "key", known.count(), SAMPLE).drop("key")
     labelled = stored(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text"))
     place = evidence(labelled)
     if not place:

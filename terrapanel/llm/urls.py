@@ -13,10 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrapanel.llm import boosting
-from terrapanel.llm.common import stored
+from terrapanel.llm.common import hashed_sample, stored
 
 ALLOW, BLOCK = "allow", "block"
-SAMPLE = 20_000  # labelled URLs that the trees are fitted on, drawn by a hash of the URL
+SAMPLE = 20_000  # labelled URLs that the trees are fitted on, drawn by a hash of id and URL
 BINS = 32
 
 
@@ -99,17 +99,17 @@ def judge(pages: DataFrame, rules: list[Rule] = RULES, sample: int = SAMPLE) ->
     A null URL and one without ``://`` have an empty host and path; no rule fits them. If no rule has labelled any URL, or all
     with one verdict, the trees return the share of blocked ones (0.5 without labels); 0.5 and more blocks. Repeated rows are
     judged each and null ids kept; other columns are ignored. Suffix statistics count all labelled rows; the trees are
-    fitted on at most ``sample`` of the labelled rows, those with the smallest hashes of their URL.
+    fitted on at most ``sample`` of the labelled rows, those with the smallest hashes of id and URL.
     """
     host, path = parts(F.col("url"))
     rows = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
     numbers = lexical(F.col("url"), F.col("host"), F.col("path"))
     ends = _suffixes(F.col("host"))
-    rows = stored(rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("fixed"), F.xxhash64("url").alias("order"),
+    rows = stored(rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("fixed"), F.xxhash64("page_id", "url").alias("order"),
                               *[c.alias(f"x_{n}") for n, c in numbers.items()], *[c.alias(f"end_{n}") for n, c in ends.items()]))
     blocked = (F.col("fixed") == BLOCK).cast("double")
-    prior = rows.agg(F.avg(blocked)).first()[0]
+    prior, labelled = rows.agg(F.avg(blocked), F.count("fixed")).first()
     prior = 0.5 if prior is None else prior
     for n in ends:
         rate = rows.where("fixed is not null").groupBy(f"end_{n}").agg(F.count(F.lit(1)).alias(f"seen_{n}"), F.sum(blocked).alias(f"hits_{n}"))
@@ -121,7 +121,7 @@ def judge(pages: DataFrame, rules: list[Rule] = RULES, sample: int = SAMPLE) ->
         rows = rows.withColumn(f"x_rate_{n}", (hits + prior) / (seen + 1))
         names.append(f"x_rate_{n}")
     rows = stored(rows.select("page_id", "host", "path", "rule", "fixed", "order", *names))
-    taught = rows.where("fixed is not null").orderBy("order").limit(sample).select(*names, blocked.alias("y")).toPandas()
+    taught = hashed_sample(rows.where("fixed is not null"), "order", labelled, sample).select(*names, blocked.alias("y")).toPandas()
     x, y = taught[names].to_numpy("float64"), taught["y"].to_numpy("float64")
     cuts = [sorted({float(c) for c in np.quantile(v, np.linspace(0, 1, BINS + 1)[1:-1], method="lower")}) if len(v) else [] for v in x.T]
     bins = np.stack([np.searchsorted(c, v, side="left") for c, v in zip(cuts, x.T, strict=True)], axis=1) if len(x) else np.zeros((0, len(names)), int)
