@@ -23,7 +23,6 @@ BUCKETS = 1 << 20
 FEATURES = 512  # beginnings kept as evidence
 SAMPLE = 30_000  # labelled ids the model is fitted on, those with the smallest hashes
 GRADES = 3
-CHANCE = 10_000_000.0
 OFTEN = 0.007  # share of a text's words from which a beginning counts as frequent there, a feature of its own
 SHARES = [0.0, 0.005, 0.01, 0.015, 0.02, 0.025, 0.03, 0.05]  # levels of the share of evident words
 SCHEMA = "doc_id bigint, severity double, p_toxic double, toxic boolean"
@@ -121,10 +120,10 @@ def evidence(labelled: DataFrame) -> dict[int, int]:
     clean, toxic = n[0] or 0, n[1] or 0
     if not clean or not toxic:
         return {}
-    sums = rows.groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    sums = stored(rows.groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
-    # far more often in toxic texts, and in so many that chance alone leaves hardly any such beginning among CHANCE of them
-    least = np.log(CHANCE) / np.log((toxic + clean) / toxic)
+    # far more often in toxic texts, and in so many of them that chance hardly leaves one such feature among all
+    least = np.log(10 * max(1, sums.count())) / np.log((toxic + clean) / toxic)
     telling = sums.withColumn("odds", odds).where((F.col("odds") > float(np.log(8.0))) & (F.col("toxic") >= float(least)))
     best = telling.orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "bucket").limit(FEATURES).collect()
     return {r.bucket: k for k, r in enumerate(best)}
