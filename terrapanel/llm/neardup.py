@@ -11,7 +11,8 @@ are whole multiples of 1/4096, and the similarity of two texts is the sum of the
 Equal texts are one node. A node's signature holds HASHES samples, each a shingle drawn with a chance in proportion to its weight,
 alike for two texts with a chance of their similarity. BANDS bands of ROWS samples make buckets; every member of a bucket
 meets the bucket's two leaders (the least node of either half of a hash), pairs with too few equal samples fall away, and the
-weighted similarity decides on the rest. Groups are the connected components of what is left.
+weighted similarity decides on the rest. Where members of a bucket are still in different groups then, all such pairs of them meet,
+in blocks. Groups are the connected components of what is left.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ RARE, SMOOTH = 1000.0, 3 * float(np.log(1000.0))
 UNIT = 4096
 BUCKET = 500_000  # shingles counted in one task
 SLICE = 4_000_000
+BLOCK = 500  # members of a bucket that meet another block of it in one task
 _48 = np.uint64((1 << 48) - 1)
 
 
@@ -187,15 +189,19 @@ def signed(docs: DataFrame, n: int, frequent: dict[str, np.ndarray]) -> DataFram
     return map_texts(_node(docs), "node binary, doc_id bigint, keys array<bigint>, bits binary", sign)
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """(a, b): members and leaders of a bucket that share enough samples; nodes are (node, keys, bits)."""
+def buckets(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, leaders, many) of the buckets with two members or more, and (key, node) of all entries; nodes are (node, keys, bits)."""
     entries = nodes.select("node", F.explode("keys").alias("key"))
     half = F.pmod(F.xxhash64("node"), F.lit(2))
     led = entries.groupBy("key").agg(F.min(F.when(half == 0, F.col("node"))).alias("even"), F.min(F.when(half == 1, F.col("node"))).alias("odd"),
-                                     F.max("node").alias("last"))
+                                     F.max("node").alias("last"), F.count(F.lit(1)).alias("many"))
     led = led.withColumn("leaders", F.array_compact(F.array("even", "odd"))).where((F.size("leaders") > 1) | (F.col("leaders")[0] < F.col("last")))
-    led = stored(led.select("key", "leaders"))
-    pairs = entries.join(led, "key").select("node", F.explode("leaders").alias("leader")).where("node <> leader")
+    return stored(led.select("key", "leaders", "many")), entries
+
+
+def candidates(nodes: DataFrame, led: DataFrame, entries: DataFrame) -> DataFrame:
+    """(a, b): members and leaders of a bucket that share enough samples."""
+    pairs = entries.join(led.select("key", "leaders"), "key").select("node", F.explode("leaders").alias("leader")).where("node <> leader")
     pairs = stored(pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct())
     side = nodes.select("node", "bits")
     both = pairs.join(side.select(F.col("node").alias("a"), F.col("bits").alias("x")), "a").join(side.select(F.col("node").alias("b"), F.col("bits").alias("y")), "b")
@@ -254,17 +260,107 @@ def verified(pairs: DataFrame, vectors: DataFrame, similar: float) -> DataFrame:
     return both.mapInArrow(check, "a binary, b binary, similarity double")
 
 
+def similarities(h: np.ndarray, w: np.ndarray, hs: list[np.ndarray], ws: list[np.ndarray]) -> np.ndarray:
+    """The similarity of one text with each of several; all have shingles."""
+    start = np.cumsum([0, *map(len, hs)])[:-1]
+    h2, w2 = np.concatenate(hs), np.concatenate(ws)
+    at = np.searchsorted(h, h2)
+    at[at == len(h)] = 0
+    shared = np.add.reduceat(np.where(h[at] == h2, np.minimum(w[at], w2), 0).astype(np.int64), start)
+    return shared / (int(w.sum(dtype=np.int64)) + np.add.reduceat(w2.astype(np.int64), start) - shared)
+
+
+def _meetings(key, table: pa.Table):
+    """(i, partners j > i): the pairs of two blocks of a bucket that are in different groups, share enough samples and no earlier bucket."""
+    bucket, x, y = (k.as_py() for k in key)
+    own = table.column("own").to_numpy()
+    root = table.column("root").combine_chunks().dictionary_encode().indices.to_numpy()
+    bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint8).reshape(-1, HASHES)
+    keys = np.array(table.column("keys").to_pylist(), np.int64)
+    for i in range(len(own) - 1):
+        j = np.flatnonzero(((bits[i + 1 :] == bits[i]).sum(axis=1) >= LEAST_EQUAL) & (root[i + 1 :] != root[i])) + i + 1
+        if x != y:
+            j = j[own[j] != own[i]]
+        if len(j):
+            j = j[keys[i, (keys[j] == keys[i]).argmax(axis=1)] == bucket]
+        if len(j):
+            yield i, j
+
+
+def crowded(nodes: DataFrame, led: DataFrame, entries: DataFrame, joined: DataFrame) -> DataFrame:
+    """(key, x, y, own, node, root, keys, bits): blocks x and y of buckets and the members that have a partner in them.
+
+    Members are those other than leaders, which have met everyone; partners are in different groups of ``joined`` (node, root).
+    """
+    rest = entries.join(led.where(F.col("many") - F.size("leaders") > 1).select("key", "leaders"), "key").where(~F.array_contains("leaders", F.col("node")))
+    rest = stored(rest.select("key", "node").join(joined, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
+    split = rest.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("many")).where("least < most")
+    split = stored(split.select("key", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks")))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    placed = rest.join(split, "key").select("key", "node", "root", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    placed = placed.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "root")
+
+    def partners(key, table):
+        hit = np.zeros(table.num_rows, bool)
+        for i, j in _meetings(key, table):
+            hit[i] = hit[j] = True
+        return table.filter(pa.array(hit))
+
+    rows = placed.join(nodes.select("node", "keys", "bits"), "node").select("key", "x", "y", "own", "node", "root", "keys", "bits")
+    return rows.groupBy("key", "x", "y").applyInArrow(partners, rows.schema)
+
+
+def met(blocks: DataFrame, vectors: DataFrame, similar: float) -> DataFrame:
+    """(a, b, similarity): of the pairs in ``blocks`` at or above ``similar``, those that join two groups inside a block."""
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("similarity", pa.float64())])
+
+    def check(key, table):
+        node, group = (table.column(c).to_pylist() for c in ("node", "root"))
+        h = [np.frombuffer(v, "<u8") for v in table.column("h").to_pylist()]
+        w = [np.frombuffer(v, "<u4") for v in table.column("w").to_pylist()]
+        total = np.array([v.sum(dtype=np.int64) for v in w])
+        up = {r: r for r in group}
+
+        def top(r):
+            while up[r] != r:
+                up[r] = r = up[up[r]]
+            return r
+
+        out = []
+        for i, j in _meetings(key, table):
+            j = j[np.minimum(total[j], total[i]) >= similar * np.maximum(total[j], total[i])]
+            j = [k for k in j.tolist() if top(group[k]) != top(group[i])]
+            if j:
+                s = similarities(h[i], w[i], [h[k] for k in j], [w[k] for k in j])
+                for k, value in zip(j, s.tolist(), strict=True):
+                    p, q = top(group[i]), top(group[k])
+                    if value >= similar and p != q:
+                        up[p] = q
+                        out.append({"a": min(node[i], node[k]), "b": max(node[i], node[k]), "similarity": value})
+        return pa.Table.from_pylist(out, schema)
+
+    return blocks.join(vectors, "node").groupBy("key", "x", "y").applyInArrow(check, "a binary, b binary, similarity double")
+
+
 def links(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(a, b, similarity): links between different texts that join the groups; a and b are the MD5 of the texts."""
     n, frequent = document_frequencies(docs)
     nodes = stored(signed(docs, n, frequent))
     nodes = stored(nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("bits").alias("bits")))
-    pairs = stored(candidates(nodes))
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     place = F.xxhash64("node", "doc_id").alias("place")  # so that copies of one text lie apart
-    wanted = stored(wanted.join(nodes.select("node", "doc_id"), "node").select("node", place))
-    texts = _node(docs).select("node", place, "text").join(wanted.hint("merge"), ["node", "place"]).dropDuplicates(["node", "place"])
-    return verified(pairs, stored(weighed(texts, n, frequent)), similar)
+
+    def vectors(wanted):
+        wanted = stored(wanted.join(nodes.select("node", "doc_id"), "node").select("node", place))
+        texts = _node(docs).select("node", place, "text").join(wanted.hint("merge"), ["node", "place"]).dropDuplicates(["node", "place"])
+        return stored(weighed(texts, n, frequent))
+
+    led, entries = buckets(nodes)
+    pairs = stored(candidates(nodes, led, entries))
+    found = stored(verified(pairs, vectors(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()), similar))
+    blocks = stored(crowded(nodes, led, entries, components(found.select("a", "b"))))
+    if blocks.isEmpty():
+        return found
+    return found.unionByName(met(blocks, vectors(blocks.select("node").distinct()), similar))
 
 
 def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:

@@ -72,6 +72,25 @@ def test_near_duplicates(spark, texts):
     assert len(linked) > 50 and got == want
 
 
+def test_links_in_a_family_below_the_threshold(spark, monkeypatch):
+    """300 texts with a shared template are about 0.7 alike; forty pairs of them are above 0.8, which no leader is to either."""
+    monkeypatch.setattr(neardup, "BLOCK", 40)
+    rows = []
+    for i in range(300):
+        pair, own = [f"p{i // 2}x{k}" for k in range(10)] if i < 80 else [f"o{i}y{k}" for k in range(10)], [f"o{i}x{k}" for k in range(10)]
+        rows.append((i, " ".join([f"t{k}" for k in range(123)] + pair + own)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    n, frequent = neardup.document_frequencies(docs)
+    doc, h, tf = neardup.counted([t for _, t in rows])
+    w, cuts = neardup.weights(h, tf, n, frequent), np.searchsorted(doc, np.arange(301))
+    part = [slice(*cuts[i : i + 2]) for i in range(300)]
+    alike = {(a, b) for b in range(300) for a in range(b) if neardup.similarity(h[part[a]], w[part[a]], h[part[b]], w[part[b]]) >= 0.8}
+    assert alike == {(i, i + 1) for i in range(0, 80, 2)}
+    assert 0.68 < neardup.similarity(h[part[80]], w[part[80]], h[part[81]], w[part[81]]) < 0.8
+    got = {r.doc_id: r.class_id for r in neardup.group(docs).collect()}
+    assert got == {i: i - i % 2 if i < 80 else i for i in range(300)}
+
+
 def test_samples_agree_as_often_as_texts_are_similar():
     rng = np.random.default_rng(5)
     h = np.sort(rng.integers(0, 1 << 48, 1200, np.uint64))
