@@ -3,9 +3,9 @@
 A text is a sequence of line ids. Level 0 names every line by a 128-bit hash; level k + 1 names 2^(k + 1) lines from a position on
 by the names, at level k, of its two halves. Suffixes that share 2^k lines share a name: in the suffix array that sorts
 by the names of all levels they form an interval with a longest common prefix of at least 2^k. Only names that occur twice go
-on to the next level, so the table shrinks to the repeats. In an interval all suffixes but the first are later copies;
-neighbouring copies that keep their distance to their originals make up a maximal repeated run, which is deleted if it has
-enough words.
+on to the next level, so the table shrinks to the repeats. Names from the highest level down, one for each binary digit, make up
+the length of a suffix's longest match with an earlier suffix, as a descent through the intervals does; the lines of a match are
+deleted if they have enough words.
 """
 
 from __future__ import annotations
@@ -30,41 +30,87 @@ def _keys(docs: DataFrame) -> DataFrame:
     return docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("tid"), "text")
 
 
-def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, tid, pos): the lines to delete."""
-    split = _keys(docs).select("doc_id", "tid", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+def _split(docs: DataFrame) -> DataFrame:
+    """(doc_id, tid, pos, h1, h2, words) of every line of every document, once each."""
+    keys = _keys(docs)
+    split = keys.select("doc_id", "tid", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     words = F.size(F.filter(F.split("line", r"\s+"), lambda w: w != ""))
-    lines = stored(split.select("doc_id", "tid", "pos", *_hashed(F.col("line")), words.alias("words"), words.alias("head")))
-    document = Window.partitionBy("doc_id", "tid")
-    place = F.struct("doc_id", "tid", "pos")
-    level, runs, width = lines, None, 1
+    rows = split.select("doc_id", "tid", "pos", *_hashed(F.col("line")), words.cast("bigint").alias("words"))
+    twice = keys.groupBy("doc_id", "tid").count().where("count > 1")
+    return stored(rows if twice.isEmpty() else rows.dropDuplicates(["doc_id", "tid", "pos"]))
+
+
+def _levels(lines: DataFrame) -> list[DataFrame]:
+    """For each level (doc_id, tid, pos, h1, h2, words, first): the names that occur twice, with the first place of each."""
+    document, place = Window.partitionBy("doc_id", "tid").orderBy("pos"), F.struct("doc_id", "tid", "pos")
+    level, out, width = lines, [], 1
     for _ in range(LEVELS):
-        # the name's first place, for names of two places or more
         seen = level.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
         alive = stored(level.join(stored(seen.select("h1", "h2", "first")), ["h1", "h2"]))
         if alive.isEmpty():
             break
-        # maximal runs of later copies that keep their distance
-        copies = alive.where(~F.col("first").eqNullSafe(place))
-        shift = F.struct(F.col("first.doc_id").alias("d"), F.col("first.tid").alias("t"), (F.col("pos") - F.col("first.pos")).alias("s"))
-        copies = copies.withColumn("shift", shift)
-        before = document.orderBy("pos")
-        fresh = ~(F.lag("shift").over(before).eqNullSafe(F.col("shift")) & (F.lag("pos").over(before) == F.col("pos") - 1))
-        copies = copies.withColumn("run", F.sum(F.coalesce(fresh, F.lit(True)).cast("int")).over(before))
-        # words of a run: those of its last block, and of the first line of every block before
-        own = copies.groupBy("doc_id", "tid", "run").agg(F.min("pos").alias("lo"), F.max(F.struct("pos", "words", "head")).alias("end"), F.sum("head").alias("heads"))
-        total = F.col("heads") - F.col("end.head") + F.col("end.words")
-        found = stored(own.where(total >= min_words).select("doc_id", "tid", "lo", (F.col("end.pos") + width - 1).alias("hi")))
-        runs = found if runs is None else runs.unionByName(found)
+        out.append(alive)
         # the next level: a block and the block that follows it, both repeated
-        ahead = document.orderBy("pos").rangeBetween(width, width)
-        pairs = alive.select("doc_id", "tid", "pos", "head", "words", "h1", "h2", *[F.max(c).over(ahead).alias(f"{c}_") for c in ("h1", "h2", "words")])
-        level = pairs.where("h1_ is not null").select("doc_id", "tid", "pos", *_hashed(*map(F.col, ("h1", "h2", "h1_", "h2_"))),
-                                                      (F.col("words") + F.col("words_")).alias("words"), "head")
+        ahead = document.rangeBetween(width, width)
+        pairs = alive.select("doc_id", "tid", "pos", "words", "h1", "h2", *[F.max(c).over(ahead).alias(f"{c}_") for c in ("h1", "h2", "words")])
+        level = pairs.where("h1_ is not null").select("doc_id", "tid", "pos", *_hashed(*map(F.col, ("h1", "h2", "h1_", "h2_"))), (F.col("words") + F.col("words_")).alias("words"))
         width *= 2
-    if runs is None:
+    return out
+
+
+def longest_matches(lines: DataFrame) -> DataFrame | None:
+    """(doc_id, tid, pos, size, words): the length of the longest match of every suffix with an earlier one; None if there is none.
+
+    A suffix starts with its highest name that has an earlier place. Suffixes with one name so far are a class, together with
+    that name's first place, which has no match itself but may be the one they share more lines with. At each lower level
+    a class is split by the names that follow: the first place of every part stays, for the shorter matches of others with
+    it, and takes part in the new class as its first place; the others go on to the new class.
+    """
+    levels = _levels(lines)
+    if not levels:
+        return None
+    place, state = F.struct("doc_id", "tid", "pos"), None
+    copies = [t.where(~F.col("first").eqNullSafe(place)).select("doc_id", "tid", "pos", F.struct(F.lit(k).alias("k"), "h1", "h2", "words", "first").alias("top")) for k, t in enumerate(levels)]
+    tops = copies[0]
+    for more in copies[1:]:
+        tops = tops.unionByName(more)
+    tops = stored(tops.groupBy("doc_id", "tid", "pos").agg(F.max("top").alias("top")).select("doc_id", "tid", "pos", "top.*"))
+    columns = ["doc_id", "tid", "pos", "size", "words", "c1", "c2", "own"]
+    for k in range(len(levels) - 1, -1, -1):
+        if state is not None:
+            names = levels[k].select(F.col("doc_id").alias("d"), F.col("tid").alias("t"), F.col("pos").alias("p"), F.col("words").alias("more"), "h1", "h2")
+            on = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tid") == F.col("t")) & (F.col("pos") + F.col("size") == F.col("p"))
+            ahead = stored(state.join(names, on, "left").select(*columns, "more", "h1", "h2"))
+            part = ["c1", "c2", "h1", "h2"]
+            some = ahead.where("h1 is not null")
+            firsts = stored(some.groupBy(*part).agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select(*part, "first"))
+            longer = some.join(firsts, part).withColumn("later", ~F.col("first").eqNullSafe(place))
+            into = [h.alias(c) for h, c in zip(_hashed(*map(F.col, part)), ("c1", "c2"), strict=True)]
+            grown = (F.col("size") + 2**k).alias("size")
+            gone = stored(longer.select("doc_id", "tid", "pos", grown, (F.col("words") + F.col("more")).alias("words"), *into, "own", "later"))
+            stay = ahead.join(longer.where("later").select("c1", "c2", F.col("doc_id").alias("d"), F.col("tid").alias("t"), F.col("pos").alias("p")).withColumnsRenamed({"c1": "x1", "c2": "x2"}),
+                              (F.col("c1") == F.col("x1")) & (F.col("c2") == F.col("x2")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tid") == F.col("t")) & (F.col("pos") == F.col("p")), "left_anti")
+            state = stay.select(*columns).unionByName(gone.select(*columns[:-1], (F.col("own") & F.col("later")).alias("own")))
+        new = tops.where(F.col("k") == k)
+        size = F.lit(1 << k).cast("bigint").alias("size")
+        enter = new.select("doc_id", "tid", "pos", size, "words", F.col("h1").alias("c1"), F.col("h2").alias("c2"), F.lit(True).alias("own"))
+        one = new.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.min("words").alias("words"))
+        one = one.select("first.*", size, "words", F.col("h1").alias("c1"), F.col("h2").alias("c2"), F.lit(False).alias("own"))
+        enter = enter.unionByName(one)
+        state = stored(enter if state is None else state.unionByName(enter))
+    return state.where("own").select("doc_id", "tid", "pos", "size", "words")
+
+
+def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, tid, pos): the lines to delete."""
+    lines = _split(docs)
+    found = longest_matches(lines)
+    if found is None:
         return lines.select("doc_id", "tid", "pos").limit(0)
-    return runs.select("doc_id", "tid", F.explode(F.sequence("lo", "hi")).alias("pos")).distinct()
+    before = Window.partitionBy("doc_id", "tid").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    ends = found.where(F.col("words") >= min_words).select("doc_id", "tid", "pos", (F.col("pos") + F.col("size") - 1).cast("int").alias("hi"))
+    ends = ends.withColumn("lo", F.greatest("pos", F.coalesce(F.max("hi").over(before) + 1, "pos"))).where("lo <= hi")
+    return ends.select("doc_id", "tid", F.explode(F.sequence("lo", "hi")).alias("pos"))
 
 
 def _joined(docs: DataFrame, columns: list[str], min_words: int) -> DataFrame:

@@ -126,6 +126,30 @@ def test_long_runs_of_short_lines(spark):
     assert got == {1: rows[0][1], 2: "e f\ng", 3: rows[2][1], 4: rows[3][1]}
 
 
+def test_runs_whose_blocks_begin_in_different_places(spark):
+    """Random sequences of few short lines, against every run that occurs before; a row repeated whole is one document."""
+    rows = [(1, "a a a a\nb b b b\ny"), (2, "z\na a a a\nb b b b\nc c c c\nw"), (3, "a a a a\nb b b b\nc c c c")]
+    rng = random.Random(12)
+    rows += [(k, "\n".join(rng.choice(("a", "b b", "c", "d d")) for _ in range(rng.randint(1, 60)))) for k in range(4, 60)]
+    rows += [(None, "k k k k k k k k k k k\nm"), (60, "k k k k k k k k k k k\nn")]
+    want, where = {}, defaultdict(list)
+    for i, text in sorted(rows, key=lambda r: -1 if r[0] is None else r[0]):
+        own, gone = text.split("\n"), set()
+        for p, line in enumerate(own):
+            for other, q in where[line]:
+                k = 0
+                while p + k < len(own) and q + k < len(other) and own[p + k] == other[q + k]:
+                    k += 1
+                if sum(len(x.split()) for x in own[p : p + k]) >= lines.MIN_WORDS:
+                    gone.update(range(p, p + k))
+            where[line].append((own, p))
+        want[i] = "\n".join(x for p, x in enumerate(own) if p not in gone)
+    docs = spark.createDataFrame([*rows, rows[1], rows[10]], "doc_id bigint, text string")
+    got = lines.deduplicate(docs).collect()
+    assert len(got) == len(rows) + 2 and {r.doc_id: r.text for r in got} == want
+    assert want[3] == "" and want[60] == "n"
+
+
 def distance(item, text):
     """The least edit distance between an item and a substring."""
     row = list(range(len(item) + 1))
