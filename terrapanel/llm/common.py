@@ -28,10 +28,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def fresh_path(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing has been written to."""
+    return f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The rows of ``df``, written once to the shared folder and read back: lineage ends here and a lost executor costs nothing."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
+    path = fresh_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

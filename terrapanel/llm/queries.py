@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrapanel.llm import bpe, decontam, langid, lines, neardup, pii, quality, topk, toxicity, urls
-from terrapanel.llm.common import table
+from terrapanel.llm import bpe, conversations, decontam, langid, lines, neardup, pii, quality, tokenfiles, topk, toxicity, urls, whitening
+from terrapanel.llm.common import fresh_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,9 +54,23 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.predict(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+def op11_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf, "embeddings"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    return conversations.audited(table(spark, sf, "conversations"))
+
+
+def op13_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    path = fresh_path(spark)
+    tokenfiles.write(table(spark, sf, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, end_id=2)
+    return tokenfiles.digests(tokenfiles.read(spark, path))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_near_dedup, op2_language_id, op3_exact_topk, op4_pii, op5_url_filter, op6_line_dedup, op7_byte_bpe, op8_quality,
-    op9_decontamination, op10_toxicity)}
+    op9_decontamination, op10_toxicity, op11_whitening, op12_conversation_repair, op13_token_files)}
 
 ORACLES: dict[str, str] = {
     "op3_exact_topk": """
