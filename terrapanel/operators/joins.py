@@ -104,15 +104,3 @@ def cell_lookup(points: DataFrame, cells: DataFrame, point_id: str, cell_id: str
     hit = (F.abs(F.col("lat") - F.col("_a")) <= dlat / 2) & (F.abs(F.col("lon") - F.col("_o")) <= dlon / 2)
     best = p.join(c, ["_i", "_j"]).filter(hit).groupBy(point_id).agg(F.min("_cell").alias(cell_id))
     return points.select(point_id).join(best, point_id, "left")
-
-
-def threshold_asof(left: DataFrame, steps: DataFrame, key: str, at: str, t: str, value: str) -> DataFrame:
-    """Adds the value of the last step at or below ``at`` of the same key.
-
-    The steps of a key ride along as one array (a key has at most a year of steps), so the left rows are not sorted.
-    """
-    s = steps.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(t).alias("t"), F.col(value).alias("v")))).alias("_s"))
-    j = left.join(s, key, "left")
-    last = F.element_at(F.filter("_s", lambda x: x["t"] <= F.col(at)), -1)
-    below = F.size(F.filter("_s", lambda x: x["t"] <= F.col(at))) > 0
-    return j.withColumn(value, F.when(below, last["v"])).drop("_s")

@@ -7,6 +7,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from terrapanel.functions.numeric import mix32
+from terrapanel.operators.order_stats import dense_index
 from terrapanel.plans import derive as D
 from terrapanel.plans import scenario as Sc
 from terrapanel.queries import base as B
@@ -135,14 +136,22 @@ def src_trait_table(spark, sf):
     return rnd(got.select("grp", "p50", "p50_sd", "status"))
 
 
-@query("src_point_forcing", with_sql(QW.JOB, f"SELECT o_orderkey AS point, grp, {q6('cwd', 4)} AS cwd FROM orders JOIN (SELECT node, grp, sum(pet - aet) AS cwd FROM bk WHERE pet_name = 'pm_fao56' GROUP BY 1, 2) w ON w.node = o_custkey % 20"))
+PAIR = ["pr AS (SELECT node, year, row_number() OVER (ORDER BY node, year) - 1 AS i FROM (SELECT DISTINCT node, year FROM node_day))",
+        "pt AS (SELECT o_orderkey AS point, node, year FROM orders JOIN pr ON i = o_custkey % (SELECT count(*) FROM pr))",
+        "w AS (SELECT node, year, grp, sum(pet - aet) AS cwd FROM bk WHERE pet_name = 'pm_fao56' GROUP BY 1, 2, 3)"]
+
+
+@query("src_point_forcing", with_sql(QW.JOB + PAIR, f"SELECT point, year, grp, {q6('cwd', 4)} AS cwd FROM pt JOIN w USING (node, year)"))
 def src_point_forcing(spark, sf):
-    """Points get the water deficit of their own cell, by key, for every group."""
+    """Points get the water deficit of their own cell and year, by key, for every group."""
     from terrapanel.plans import water_balance as WB
     cap, soil = QW.job_capacity(spark, sf)
-    w = WB.node_water_balance(QW.job_weather(spark, sf), cap, soil).filter(F.col("pet_name") == "pm_fao56").select("node", "grp", "cwd")
-    p = B.table(spark, sf, "orders").select(F.col("o_orderkey").alias("point"), (F.col("o_custkey") % 20).alias("node"))
-    return rnd(Tb.point_series(p, w, "point", ["node"]).select("point", "grp", "cwd"), 4)
+    w = WB.node_water_balance(QW.job_weather(spark, sf), cap, soil).filter(F.col("pet_name") == "pm_fao56").select("node", "year", "grp", "cwd")
+    series = B.node_day(spark, sf).select("node", "year").distinct().withColumn("_cell", F.col("node") * 10_000 + F.col("year"))
+    cells = dense_index(series, "_cell", "_i").drop("_cell")
+    p = B.table(spark, sf, "orders").select(F.col("o_orderkey").alias("point"), (F.col("o_custkey") % series.agg(F.count(F.lit(1))).scalar()).alias("_i"))
+    p = p.join(cells, "_i").drop("_i")
+    return rnd(Tb.point_series(p, w, "point", ["node", "year"]).select("point", "year", "grp", "cwd"), 4)
 
 
 @query("src_node_lattice", with_sql(B.RASTER, f"""SELECT "row", "col", {q6('41.4 - ("row" + 0.5) * (2.6 / 312)')} AS lat, {q6('43.4 + ("col" + 0.5) * (3.3 / 396)')} AS lon FROM ras WHERE "row" % 7 = 0 AND "col" % 7 = 0 AND "row" < 312 AND "col" < 396 AND inside"""))

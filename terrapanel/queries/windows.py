@@ -211,17 +211,6 @@ def agg_spell_summary(spark, sf):
     return rnd(scans.spell_summary(d, SERIES))
 
 
-@query("jn_threshold_curve", with_sql(DAY + FIN + [
-    "th AS (SELECT DISTINCT node, year, psi_soil AS t FROM fin)",
-    "tc AS (SELECT th.node, th.year, th.t, doy, loss, psi_soil <= th.t AS c, row_number() OVER (PARTITION BY th.node, th.year, th.t ORDER BY doy) - row_number() OVER (PARTITION BY th.node, th.year, th.t, psi_soil <= th.t ORDER BY doy) AS isl FROM th JOIN fin USING (node, year))"],
-    f"SELECT node, year, {q6('t', 8)} AS t, {q6('max(a)', 3)} AS m FROM (SELECT node, year, t, sum(loss) AS a FROM tc WHERE c GROUP BY node, year, t, isl) GROUP BY node, year, t"))
-def jn_threshold_curve(spark, sf):
-    """The step curve of every node, one row per step."""
-    c = scans.threshold_curve(failure_in(spark, sf), SERIES)
-    c = c.select("node", "year", F.explode("curve").alias("s"))
-    return rnd(c.select("node", "year", F.col("s.t").alias("t"), F.col("s.m").alias("m")), 8, m=3)
-
-
 # ---- draws ---------------------------------------------------------------------------------------------------
 
 NATS = ["nat AS (SELECT CAST(n_nationkey AS BIGINT) AS grp_id, n_name AS grp, -1.2 - (n_nationkey % 4) * 0.3 AS p50, CAST(40.0 + n_nationkey AS DOUBLE) AS slope, -0.9 AS psi_close, 9000.0 AS capacitance, 88.0 AS lethal, 0.3 AS p50_sd, 8.0 AS slope_sd FROM nation)"]
@@ -249,32 +238,48 @@ def draws_sql(outer, inner):
 SUPS = ["nat AS (SELECT s_suppkey AS grp_id, s_name AS grp, -1.2 - (s_suppkey % 4) * 0.3 AS p50, CAST(40.0 + s_suppkey % 25 AS DOUBLE) AS slope, -0.9 AS psi_close, 9000.0 AS capacitance, 88.0 AS lethal, 0.3 AS p50_sd, 8.0 AS slope_sd FROM supplier)"]
 
 
-@query("src_draw_table", with_sql(SUPS + draws_sql(10, 20)[1:], f"SELECT grp, CAST(outer_draw AS BIGINT) AS outer_draw, CAST(inner_draw AS BIGINT) AS inner_draw, {q6('p50')} AS p50, {q6('slope')} AS slope, {q6('psi_close')} AS psi_close, {q6('buffer', 3)} AS buffer FROM draws"))
+@query("src_draw_table", with_sql(SUPS + draws_sql(50, 200)[1:], f"SELECT grp, CAST(outer_draw AS BIGINT) AS outer_draw, CAST(inner_draw AS BIGINT) AS inner_draw, {q6('p50')} AS p50, {q6('slope')} AS slope, {q6('psi_close')} AS psi_close, {q6('buffer', 3)} AS buffer FROM draws"))
 def src_draw_table(spark, sf):
-    """Ten group draws of twenty individuals each, for every trait set."""
+    """Fifty group draws of two hundred individuals each, for every trait set."""
     k = F.col("s_suppkey")
     t = B.table(spark, sf, "supplier").select(
         k.alias("grp_id"), F.col("s_name").alias("grp"), (F.lit(-1.2) - (k % 4) * 0.3).alias("p50"), (k % 25 + 40.0).alias("slope"),
         F.lit(-0.9).alias("psi_close"), F.lit(9000.0).alias("capacitance"), F.lit(88.0).alias("lethal"), F.lit(0.3).alias("p50_sd"), F.lit(8.0).alias("slope_sd"))
-    d = Dr.trait_draws(spark, t, {"p50": "p50_sd", "slope": "slope_sd"}, outer=10, inner=20)
+    d = Dr.trait_draws(spark, t, {"p50": "p50_sd", "slope": "slope_sd"})
     return rnd(d.select("grp", "outer_draw", "inner_draw", "p50", "slope", "psi_close", "buffer"), 6, buffer=3)
 
 
-@query("agg_failure_probability", with_sql(DAY + FIN + draws_sql(20, 50) + [
-    "th AS (SELECT DISTINCT node, year, psi_soil AS t FROM fin)",
-    "tc AS (SELECT th.node, th.year, th.t, doy, loss, psi_soil <= th.t AS c, row_number() OVER (PARTITION BY th.node, th.year, th.t ORDER BY doy) - row_number() OVER (PARTITION BY th.node, th.year, th.t, psi_soil <= th.t ORDER BY doy) AS isl FROM th JOIN fin USING (node, year))",
-    "cv AS (SELECT node, year, t, max(a) AS m FROM (SELECT node, year, t, sum(loss) AS a FROM tc WHERE c GROUP BY node, year, t, isl) GROUP BY node, year, t)",
-    "ng AS (SELECT node, n_name AS grp FROM users JOIN nation ON n_nationkey = node % 25)",
-    "hit AS (SELECT ng.node, year, d.grp, outer_draw, inner_draw, bool_or(t <= psi_close AND m >= buffer) AS f FROM ng JOIN draws d USING (grp) JOIN cv USING (node) GROUP BY 1, 2, 3, 4, 5)",
-    "byd AS (SELECT node, year, grp, outer_draw, avg(CASE WHEN f THEN 1.0 ELSE 0.0 END) AS h FROM hit GROUP BY 1, 2, 3, 4)"],
+CURVE = ["th AS (SELECT DISTINCT node, year, psi_soil AS t FROM fin)",
+         "tc AS (SELECT th.node, th.year, th.t, doy, loss, psi_soil <= th.t AS c, row_number() OVER (PARTITION BY th.node, th.year, th.t ORDER BY doy) - row_number() OVER (PARTITION BY th.node, th.year, th.t, psi_soil <= th.t ORDER BY doy) AS isl FROM th JOIN fin USING (node, year))",
+         "cv AS (SELECT node, year, t, max(a) AS m FROM (SELECT node, year, t, sum(loss) AS a FROM tc WHERE c GROUP BY node, year, t, isl) GROUP BY node, year, t)",
+         "ng AS (SELECT DISTINCT node, year, n_name AS grp FROM fin JOIN nation ON n_nationkey = node % 25)"]
+
+
+def node_curves(spark, sf):
+    """The step curve of every node and year, with the node's group."""
+    grp = B.table(spark, sf, "nation").select(F.col("n_nationkey").alias("_k"), F.col("n_name").alias("grp"))
+    curves = scans.threshold_curve(failure_in(spark, sf), SERIES)
+    return curves.join(grp, F.col("node") % 25 == F.col("_k")).drop("_k")
+
+
+@query("jn_threshold_curve", with_sql(DAY + FIN + draws_sql(50, 1) + CURVE + ["nd AS (SELECT ng.node, ng.year, d.* FROM ng JOIN draws d USING (grp))"],
+       f"""SELECT nd.node, nd.year, nd.grp, CAST(outer_draw AS BIGINT) AS outer_draw, {q6('psi_close')} AS psi_close, {q6('m', 3)} AS m
+       FROM nd ASOF LEFT JOIN cv ON nd.node = cv.node AND nd.year = cv.year AND nd.psi_close >= cv.t"""))
+def jn_threshold_curve(spark, sf):
+    """Every node's step curve read at the closing thresholds of fifty draws of its group."""
+    d = Dr.trait_draws(spark, nation_traits(spark, sf), {"p50": "p50_sd", "slope": "slope_sd"}, inner=1)
+    got = Dr.threshold_asof(node_curves(spark, sf), d, SERIES)
+    return rnd(got.select("node", "year", "grp", "outer_draw", "psi_close", "m"), 6, m=3)
+
+
+@query("agg_failure_probability", with_sql(DAY + FIN + draws_sql(50, 200) + CURVE + [
+    "nd AS (SELECT ng.node, ng.year, d.grp, outer_draw, psi_close, buffer FROM ng JOIN draws d USING (grp))",
+    "byd AS (SELECT nd.node, nd.year, grp, outer_draw, avg(CASE WHEN m >= buffer THEN 1.0 ELSE 0.0 END) AS h FROM nd ASOF LEFT JOIN cv ON nd.node = cv.node AND nd.year = cv.year AND nd.psi_close >= cv.t GROUP BY 1, 2, 3, 4)"],
     f"SELECT node, year, grp, {q6('avg(h)')} AS h_mean, {q6('min(h)')} AS h_min, {q6('max(h)')} AS h_max, {q6('stddev_pop(h)')} AS h_sd FROM byd GROUP BY 1, 2, 3"))
 def agg_failure_probability(spark, sf):
     """Yearly probability of failure of every node under its group's draws."""
-    curves = scans.threshold_curve(failure_in(spark, sf), SERIES)
-    grp = B.table(spark, sf, "nation").select((F.col("n_nationkey")).alias("_k"), F.col("n_name").alias("grp"))
-    curves = curves.join(grp, F.col("node") % 25 == F.col("_k")).drop("_k")
-    d = Dr.trait_draws(spark, nation_traits(spark, sf), {"p50": "p50_sd", "slope": "slope_sd"}, outer=20, inner=50)
-    return rnd(Dr.failure_probability(Dr.failure_by_draw(curves, d, SERIES), SERIES))
+    d = Dr.trait_draws(spark, nation_traits(spark, sf), {"p50": "p50_sd", "slope": "slope_sd"})
+    return rnd(Dr.failure_probability(Dr.failure_by_draw(node_curves(spark, sf), d, SERIES), SERIES))
 
 
 # ---- monthly cycle ---------------------------------------------------------------------------------------------
