@@ -31,8 +31,10 @@ OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01",
 
 
 def unsettled() -> re.Pattern:
-    """Characters whose class may differ between Unicode versions: those beyond the first plane or not assigned in Unicode 3.2."""
-    new = [c for c in range(0x10000) if unicodedata.ucd_3_2_0.category(chr(c)) == "Cn"]
+    """Characters that two regular expression engines may class differently: those beyond the first plane or not assigned in Unicode 3.2
+    (newer tables differ between versions), numbers that aren't digits, and four control characters that only some take as spaces."""
+    unsure = {"Cn", "Nl", "No"}
+    new = [c for c in range(0x10000) if {unicodedata.category(chr(c)), unicodedata.ucd_3_2_0.category(chr(c))} & unsure or 0x1C <= c < 0x20]
     ranges = []
     for c in new:
         if ranges and ranges[-1][1] == c - 1:
@@ -42,13 +44,16 @@ def unsettled() -> re.Pattern:
     return re.compile("[" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in ranges) + "\U00010000-\U0010ffff]")
 
 
+#: The classes of the split pattern as Python's own engine names them, equal for settled characters.
+CLASSES = {r" ?[^\s\p{L}\p{N}]+": r" ?(?:[^\s\w]|_)+", r"\p{L}": r"[^\W\d_]", r"\p{N}": r"\d"}
+
+
 class Encoder:
     """One worker's tokenizer. Pre-tokens are encoded by the library once each and remembered; a text that holds an added
     token or an unsettled character, and every text under a tokenizer of another kind, is encoded whole by the library."""
 
     def __init__(self, definition: str, pattern: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
@@ -56,37 +61,46 @@ class Encoder:
         before = made.get("pre_tokenizer") or {}
         self.split = (before.get("type"), before.get("use_regex", True), before.get("add_prefix_space")) == ("ByteLevel", True, False) and not any(
             made.get(k) for k in ("normalizer", "truncation", "padding"))
-        # the library's pattern takes white space as Unicode defines it
-        self.find = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
+        for theirs, ours in CLASSES.items():
+            pattern = pattern.replace(theirs, ours)
+        self.find = re.compile(pattern).findall
         self.odd = unsettled()
         self.added = [x["content"] for x in made.get("added_tokens") or []]
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # of two generations, the older is given up when the newer is full
+        self.older: dict[str, bytes] = {}
         self.size = 0
 
-    def whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of pre-tokens by the library. Words with a space in front stay apart when they are put together, so they are one call."""
+        words = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
+        made = self.tokenizer.encode("".join(words), add_special_tokens=False)
+        ids = np.asarray(made.ids, "<u4").tobytes()
+        ends = [*np.flatnonzero(np.diff(np.asarray(made.word_ids, np.int64), prepend=-1)).tolist(), len(ids) // 4]
+        coded = {w: ids[4 * a : 4 * b] for w, a, b in zip(words, ends[:-1], ends[1:], strict=True)}
+        others = [p for p in pieces if p not in coded]
+        coded.update((p, np.asarray(e.ids, "<u4").tobytes()) for p, e in zip(others, self.tokenizer.encode_batch(others, add_special_tokens=False), strict=True))
+        return coded
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if not self.split or self.odd.search(text) or any(a in text for a in self.added):
-            return self.whole(text)
+            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         parts = self.find(text)
-        new = [t for t in {*parts} if t not in self.known]
-        known = self.known
+        new = [p for p in {*parts} if p not in self.known]
         if new:
-            size = sum(map(len, new))
-            if self.size + size > CACHED:
-                known, new, self.size = {}, [*{*parts}], 0
-                size = sum(map(len, new))
-            coded = {t: np.asarray(e.ids, "<u4").tobytes() for t, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True)}
-            if any(len(t) > LONG for t in new) or size > CACHED:
-                keep = {t: c for t, c in coded.items() if len(t) <= LONG} if size <= CACHED else {}
-                out = b"".join([known[t] if t in known else coded[t] for t in parts])
-                self.known, self.size = known | keep, self.size + sum(map(len, keep))
-                return out
-            known.update(coded)
-            self.known, self.size = known, self.size + size
-        return b"".join(map(known.__getitem__, parts))
+            coded = {p: self.older[p] for p in new if p in self.older}
+            coded |= self.learn([p for p in new if p not in coded])
+            keep = {p: c for p, c in coded.items() if len(p) <= LONG}
+            size = sum(map(len, keep))
+            known = self.known
+            if self.size + size > CACHED // 2:
+                self.older, self.known, self.size = self.known, {}, 0
+            if size <= CACHED // 2:
+                self.known.update(keep)
+                self.size += size
+            if self.known is not known or len(keep) < len(coded):
+                return b"".join([coded[p] if p in coded else known[p] for p in parts])
+        return b"".join(map(self.known.__getitem__, parts))
 
 
 _ENCODERS: dict[int, Encoder] = {}
