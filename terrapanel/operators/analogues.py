@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrapanel.functions.special import chi_square_cdf
-from terrapanel.operators.spatial import knn, range_pairs
+from terrapanel.operators.neighbours import knn
+from terrapanel.operators.spatial import range_pairs
 
 
 def covariance(df: DataFrame, features: Sequence[str], ddof: int = 1) -> np.ndarray:

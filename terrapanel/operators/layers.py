@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terrapanel.operators.order_stats import exact_quantiles
-from terrapanel.operators.spatial import idw, knn
+from terrapanel.operators.neighbours import knn
+from terrapanel.operators.spatial import idw
 from terrapanel.tables import cut_lineage
 
 

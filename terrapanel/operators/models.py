@@ -14,8 +14,8 @@ from terrapanel.functions.ecology import cloglog, cloglog_inverse
 from terrapanel.functions.numeric import all_finite, clip
 from terrapanel.functions.special import t_quantile, t_tail
 from terrapanel.operators.means import demean, demean_two_way
+from terrapanel.operators.neighbours import knn
 from terrapanel.operators.order_stats import bin_index, dense_index, exact_quantiles, quantile_array
-from terrapanel.operators.spatial import knn
 from terrapanel.tables import cut_lineage
 
 

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from terrapanel.functions.numeric import mix32
 from terrapanel.operators.models import assembled
+from terrapanel.operators.neighbours import knn
 from terrapanel.operators.scores import regression_scores
-from terrapanel.operators.spatial import knn
 from terrapanel.operators.splits import block_folds
 from terrapanel.tables import cut_lineage
 

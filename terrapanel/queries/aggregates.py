@@ -11,6 +11,7 @@ from terrapanel.operators import niche as N
 from terrapanel.operators import order_stats as O
 from terrapanel.operators import raster as R
 from terrapanel.operators import spatial as Sp
+from terrapanel.operators.neighbours import knn
 from terrapanel.queries import base as B
 from terrapanel.queries import joins as QJ
 from terrapanel.queries.base import bi, q6, query, rnd, with_sql
@@ -368,7 +369,7 @@ def holed(spark, sf):
 
 @query("mdl_idw", with_sql(B.POINTS + B.STATIONS + QJ.NB + IDW, f"SELECT point, {q6('CASE WHEN any_value(k) IS NOT NULL THEN max(v) FILTER (WHERE nn = k) ELSE sum(v / (dist * dist)) / sum(CASE WHEN v IS NOT NULL THEN 1.0 / (dist * dist) END) END', 5)} AS value FROM iw JOIN ie USING (point) GROUP BY point"))
 def mdl_idw(spark, sf):
-    nb = Sp.knn(B.stations(spark, sf), B.points(spark, sf), 8, "node", "point")
+    nb = knn(B.stations(spark, sf), B.points(spark, sf), 8, "node", "point")
     return rnd(Sp.idw(nb, holed(spark, sf), "v", target_id="point"), 5)
 
 
@@ -377,7 +378,7 @@ def mdl_idw(spark, sf):
 def mdl_idw_elev(spark, sf):
     """Neighbours moved to the target's elevation along one global slope before averaging."""
     h = holed(spark, sf)
-    nb = Sp.knn(B.stations(spark, sf), B.points(spark, sf), 8, "node", "point").join(B.points(spark, sf).select("point", F.col("z").alias("tz")), "point")
+    nb = knn(B.stations(spark, sf), B.points(spark, sf), 8, "node", "point").join(B.points(spark, sf).select("point", F.col("z").alias("tz")), "point")
     return rnd(Sp.idw(nb, h, "v", target_id="point", elevation=("nz", "tz"), slope=L.elevation_slope(h, "v", "nz")), 5)
 
 
@@ -385,7 +386,7 @@ def mdl_idw_elev(spark, sf):
     f"SELECT grp, {q6('sum(value * (1.0 + z / 1000.0)) / sum(CASE WHEN value IS NOT NULL THEN 1.0 + z / 1000.0 END)', 5)} AS mean, {q6('sum(CASE WHEN value IS NOT NULL THEN 1.0 + z / 1000.0 END)', 5)} AS land FROM sf JOIN pts USING (point) GROUP BY grp"))
 def agg_zone_weighted_mean(spark, sf):
     """Land-weighted mean of the interpolated surface per region."""
-    nb = Sp.knn(B.stations(spark, sf), B.points(spark, sf), 8, "node", "point")
+    nb = knn(B.stations(spark, sf), B.points(spark, sf), 8, "node", "point")
     s = Sp.idw(nb, holed(spark, sf), "v", target_id="point").join(B.points(spark, sf).select("point", "grp", "z"), "point")
     return rnd(L.weighted_zone_mean(s, "grp", "value", F.lit(1.0) + F.col("z") / 1000.0), 5)
 

@@ -11,6 +11,7 @@ from terrapanel.operators import order_stats as O
 from terrapanel.operators import raster as R
 from terrapanel.operators import scans
 from terrapanel.operators import spatial as Sp
+from terrapanel.operators.neighbours import knn
 from terrapanel.operators import splits as Spl
 from terrapanel.queries import base as B
 from terrapanel.queries import windows as QW
@@ -151,7 +152,7 @@ NB = [f"nb AS ({KNN.format(k=8)})"]
 
 @query("jn_knn", with_sql(B.POINTS + B.STATIONS + NB, f"SELECT point, node, {q6('dist')} AS dist, nn FROM nb"))
 def jn_knn(spark, sf):
-    n = Sp.knn(B.stations(spark, sf), B.points(spark, sf), 8, "node", "point")
+    n = knn(B.stations(spark, sf), B.points(spark, sf), 8, "node", "point")
     return rnd(n.withColumn("nn", F.col("nn").cast("bigint")))
 
 

@@ -215,7 +215,7 @@ def mdl_niche_apply(spark, sf):
 
 
 PAIRS = ["ix AS (SELECT row_number() OVER (ORDER BY node) - 1 AS i, * FROM sz)",
-         "dr AS (SELECT CAST(floor(((p + 0.5) * CAST(0.6180339887498949 AS DOUBLE) - floor((p + 0.5) * CAST(0.6180339887498949 AS DOUBLE))) * n) AS BIGINT) AS a, CAST(floor(((p + 0.5) * CAST(0.7548776662466927 AS DOUBLE) - floor((p + 0.5) * CAST(0.7548776662466927 AS DOUBLE))) * n) AS BIGINT) AS b FROM range(0, 20000) r(p), (SELECT count(*) AS n FROM sz))",
+         "dr AS (SELECT CAST(floor(((p + 0.5) * CAST(0.6180339887498949 AS DOUBLE) - floor((p + 0.5) * CAST(0.6180339887498949 AS DOUBLE))) * n) AS BIGINT) AS a, CAST(floor(((p + 0.5) * CAST(0.7548776662466927 AS DOUBLE) - floor((p + 0.5) * CAST(0.7548776662466927 AS DOUBLE))) * n) AS BIGINT) AS b FROM range(0, 200000) r(p), (SELECT count(*) AS n FROM sz))",
          "db AS (SELECT avg(sqrt((u.v - w.v) * (u.v - w.v) + (u.z - w.z) * (u.z - w.z) + (u.x - w.x) * (u.x - w.x))) AS d FROM dr JOIN ix u ON u.i = a JOIN ix w ON w.i = b WHERE a <> b)"]
 AOA = ["sm AS (SELECT avg(v) AS mv, stddev_pop(v) AS dv, avg(z) AS mz, stddev_pop(z) AS dz, avg(x) AS mx, stddev_pop(x) AS dx FROM sts)",
        "sz AS (SELECT node, node % 4 AS fold, (v - mv) / dv AS v, (z - mz) / dz AS z, (x - mx) / dx AS x FROM sts, sm)", "pz AS (SELECT point, (v - mv) / dv AS v, (z - mz) / dz AS z, (x - mx) / dx AS x FROM pts, sm)"] + PAIRS + [
@@ -227,7 +227,7 @@ AOA = ["sm AS (SELECT avg(v) AS mv, stddev_pop(v) AS dv, avg(z) AS mz, stddev_po
 @query("mdl_aoa", with_sql(B.POINTS + B.STATIONS + AOA, f"SELECT point, {q6('pn.d / db.d')} AS di, {q6('t')} AS threshold, pn.d / db.d <= t AS inside FROM pn, db, th"))
 def mdl_aoa(spark, sf):
     s = B.stations(spark, sf).withColumn("fold", F.col("node") % 4)
-    return rnd(Md.area_of_applicability(s, B.points(spark, sf), ["v", "z", "x"], "node", "point", "fold", max_pairs=20000))
+    return rnd(Md.area_of_applicability(s, B.points(spark, sf), ["v", "z", "x"], "node", "point", "fold"))
 
 
 # ---- calibration, offsets, variogram -----------------------------------------------------------------------------------

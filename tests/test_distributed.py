@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terrapanel.operators import analogues, order_stats as O, raster, scans, spatial, splits
+from terrapanel.operators import analogues, neighbours, order_stats as O, raster, scans, spatial, splits
 
 RNG = np.random.default_rng(7)
 
@@ -48,7 +48,7 @@ def test_knn_matches_brute_force(spark, mode):
     skip = {"plain": lambda *a: False, "id": lambda nn, f, t, tf: nn == t, "fold": lambda nn, f, t, tf: f == tf}[mode]
     want = brute(nodes, targets, 3, skip)
     got = {}
-    for r in spatial.knn(nd, td, 3, exclude=ex).orderBy("target", "nn").collect():
+    for r in neighbours.knn(nd, td, 3, exclude=ex).orderBy("target", "nn").collect():
         got.setdefault(r["target"], []).append((r["node"], r["dist"]))
     assert set(got) == set(want)
     for t in want:
@@ -60,7 +60,7 @@ def test_knn_matches_brute_force(spark, mode):
 def test_knn_with_fewer_nodes_than_k(spark):
     nd = spark.createDataFrame([(1, 0.0, 0.0), (2, 3.0, 4.0)], "node long, x double, y double")
     td = spark.createDataFrame([(7, 0.0, 0.0)], "target long, x double, y double")
-    assert [(r["node"], r["dist"]) for r in spatial.knn(nd, td, 5).orderBy("nn").collect()] == [(1, 0.0), (2, 5.0)]
+    assert [(r["node"], r["dist"]) for r in neighbours.knn(nd, td, 5).orderBy("nn").collect()] == [(1, 0.0), (2, 5.0)]
 
 
 def test_variogram_from_place_moments(spark):
