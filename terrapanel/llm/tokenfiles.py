@@ -25,7 +25,7 @@ from terrapanel.llm.common import slices
 
 SCHEMA = "part int, first bigint, doc_id bigint, n_tokens bigint, ids array<int>"
 SLICE = 500_000  # characters encoded at a time
-CACHED = 8_000_000  # characters of pre-tokens that a worker keeps
+CACHED = 16_000_000  # characters of pre-tokens that a worker keeps
 LONG = 64  # longer pre-tokens are not kept
 OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "1000", "orc.stripe.size": str(2**26), "compression": "zstd"}
 
@@ -86,21 +86,22 @@ class Encoder:
         if not self.split or self.odd.search(text) or any(a in text for a in self.added):
             return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         parts = self.find(text)
-        new = [p for p in {*parts} if p not in self.known]
-        if new:
+        out = list(map(self.known.get, parts))
+        if None in out:
+            at = [i for i, c in enumerate(out) if c is None]
+            new = {parts[i] for i in at}
             coded = {p: self.older[p] for p in new if p in self.older}
-            coded |= self.learn([p for p in new if p not in coded])
+            coded.update(self.learn([p for p in new if p not in coded]))
+            for i in at:
+                out[i] = coded[parts[i]]
             keep = {p: c for p, c in coded.items() if len(p) <= LONG}
             size = sum(map(len, keep))
-            known = self.known
             if self.size + size > CACHED // 2:
                 self.older, self.known, self.size = self.known, {}, 0
             if size <= CACHED // 2:
                 self.known.update(keep)
                 self.size += size
-            if self.known is not known or len(keep) < len(coded):
-                return b"".join([coded[p] if p in coded else known[p] for p in parts])
-        return b"".join(map(self.known.__getitem__, parts))
+        return b"".join(out)
 
 
 _ENCODERS: dict[int, Encoder] = {}
