@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from terrapanel.functions.ecology import cloglog, cloglog_inverse
 from terrapanel.functions.numeric import all_finite, clip
 from terrapanel.functions.special import t_quantile, t_tail
+from terrapanel.operators import boosting as boost
 from terrapanel.operators.means import demean, demean_two_way
 from terrapanel.operators.neighbours import knn
 from terrapanel.operators.order_stats import bin_index, dense_index, exact_quantiles, quantile_array
@@ -368,8 +369,8 @@ def fit_logistic(df: DataFrame, features: Sequence[str], y: str, by: str | None
             beta[r["_g"]] = beta[r["_g"]] + step
             moved = max(moved, float(np.max(np.abs(step))))
         if moved < tol:
-            break
-    return beta
+            return beta
+    raise RuntimeError(f"no logistic fit within {max_iter} rounds: the last step was {moved:.2g}")
 
 
 def presence_background(occ: DataFrame, background: DataFrame, features: Sequence[str], species: str = "species", C: float = 1.0, minimum: int = 25) -> DataFrame:
@@ -452,13 +453,15 @@ def fit_variogram(bins: Sequence[tuple[float, float]]) -> dict:
     return {"nugget": float(nug), "sill": float(sill), "range": r, "practical_range": 3 * r, "r2": r2, "r2_linear": r2_lin, "plateau": bool(r2 - r2_lin >= 0.03)}
 
 
-def tree_models(train: DataFrame, features: Sequence[str], y: str, seed: int = 0, trees: int = 8, depth: int = 3) -> tuple:
-    """Gradient boosting and random forest classifiers on an assembled feature column."""
-    from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+FOREST = {"numTrees": 500, "maxDepth": 15, "maxMemoryInMB": 1024, "minInstancesPerNode": 1}  # Spark's forests need a depth
+
+
+def forest(train: DataFrame, features: Sequence[str], y: str, weight: str | None = None, seed: int = 0, **settings):
+    """Random forest classifier on an assembled feature column."""
+    from pyspark.ml.classification import RandomForestClassifier
     d = assembled(train, features).withColumn("_label", F.col(y).cast("double"))
-    gbt = GBTClassifier(labelCol="_label", featuresCol="_features", maxIter=trees, maxDepth=depth, seed=seed, stepSize=0.1)
-    rf = RandomForestClassifier(labelCol="_label", featuresCol="_features", numTrees=trees, maxDepth=depth + 2, seed=seed)
-    return gbt.fit(d), rf.fit(d)
+    rf = RandomForestClassifier(labelCol="_label", featuresCol="_features", seed=seed, **{**FOREST, **settings})
+    return (rf if weight is None else rf.setWeightCol(weight)).fit(d)
 
 
 def assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -473,21 +476,29 @@ def scored_by(model, df: DataFrame, features: Sequence[str], out: str) -> DataFr
     return d.withColumn(out, vector_to_array("probability")[1]).drop("_features", "rawPrediction", "probability", "prediction")
 
 
-def stacked_hazard(df: DataFrame, features: Sequence[str], y: str, block: str, key: str, l2: float = 1e-4, seed: int = 0) -> tuple[DataFrame, np.ndarray]:
-    """Out-of-fold link predictions of both learners per block and their non-negative weights.
+def stacked_hazard(df: DataFrame, features: Sequence[str], y: str, block: str, key: str, l2: float = 1e-4, seed: int = 0, weight: str | None = None, offset: str | None = None,
+                   increasing: Sequence[str] = (), decreasing: Sequence[str] = (), boosting: dict | None = None, trees: dict | None = None) -> tuple[DataFrame, dict]:
+    """Out-of-fold predictions of three learners per block, and the models fitted on all rows with the stacking weights.
 
-    Blocks are folds (a handful); each is one fit on the other blocks and one scoring pass over its own rows.
+    Blocks are folds (a handful). The boosted trees of all folds and of the final fit grow together, one pass per level; the cloglog
+    model (which alone takes the offset, on the link scale) and the forest are one fit per fold. Incomplete rows are dropped.
     """
-    d = cut_lineage(df.select(key, block, y, *features))
+    keep = dict.fromkeys([key, block, y, *features, *([weight] if weight else []), *([offset] if offset else [])])
+    d = cut_lineage(df.select(*keep).where(all_finite([y, *features])))
+    blocks = sorted(r[0] for r in d.select(block).distinct().collect())
+    numbers = df.sparkSession.createDataFrame([(b, i) for i, b in enumerate(blocks)], f"`{block}` {dict(d.dtypes)[block]}, _fold int")
+    # one small file would be one task in every pass of the learners
+    d = cut_lineage(d.join(F.broadcast(numbers), block).repartition(max(d.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism), key))
+    gbm = boost.fit(d, features, y, "_fold", len(blocks), weight, increasing, decreasing, **(boosting or {}))
     parts = []
-    for b in sorted(r[0] for r in d.select(block).distinct().collect()):
-        tr, te = d.filter(F.col(block) != b), d.filter(F.col(block) == b)
-        beta = fit_cloglog(tr, features, y, l2=l2)
-        gbt, rf = tree_models(tr, features, y, seed)
-        s = scored_by(gbt, te.withColumn("link_glm", cloglog_link(features, beta)), features, "_pg")
-        s = scored_by(rf, s, features, "p_forest")
-        parts.append(s.select(key, block, y, "link_glm", cloglog(clip("_pg", 1e-10, 1 - 1e-10)).alias("link_gbm"), "p_forest"))
-    oof = cut_lineage(reduce(DataFrame.unionByName, parts))
+    for i in range(len(blocks)):
+        tr, te = d.filter(F.col("_fold") != i), d.filter(F.col("_fold") == i)
+        beta = fit_cloglog(tr, features, y, weight=weight, offset=offset, l2=l2)
+        rf = forest(tr, features, y, weight, seed, **(trees or {}))
+        parts.append(scored_by(rf, te.withColumn("link_glm", cloglog_link(features, beta, offset)), features, "p_forest"))
+    oof = boost.predict(reduce(DataFrame.unionByName, parts), gbm, features, "_pg", "_fold")
+    oof = cut_lineage(oof.select(key, block, y, "link_glm", cloglog(clip("_pg", 1e-10, 1 - 1e-10)).alias("link_gbm"), "p_forest"))
     w = stack_weights(oof, "link_glm", "link_gbm", y)
     link = F.col("link_glm") * float(w[0]) + F.col("link_gbm") * float(w[1])
-    return oof.withColumn("link_stat", link).withColumn("p_stat", cloglog_inverse(link)), w
+    final = {"weights": w, "glm": fit_cloglog(d, features, y, weight=weight, offset=offset, l2=l2), "gbm": gbm[-1], "forest": forest(d, features, y, weight, seed, **(trees or {}))}
+    return oof.withColumn("link_stat", link).withColumn("p_stat", cloglog_inverse(link)), final

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from terrapanel import constants as K
 from terrapanel.functions import ecology as E
 from terrapanel.functions import weather as X
+from terrapanel.operators import boosting
 from terrapanel.operators import models as Md
 from terrapanel.operators import scores as S
 from terrapanel.operators import spatial as Sp
@@ -154,13 +155,21 @@ def mdl_stack_nnls(spark, sf):
     return rnd(coefs(spark, ["a", "b"], Md.stack_weights(d, "a", "b", "y"), "weight"), 5)
 
 
-@query("mdl_gbm_rf")
+@query("mdl_gbm_rf", """SELECT unnest(['glm', 'gbm', 'forest', 'stacked']) AS learner, count(*) AS n, true AS better_than_chance, CAST(0 AS BIGINT) AS violations, true AS weights_sum_to_one FROM lineitem""")
 def mdl_gbm_rf(spark, sf):
-    """Both learners and the cloglog model on blocks of the panel, scored out of fold."""
-    d = B.scored(spark, sf).select((F.col("id") * 10 + F.col("line")).alias("key"), (F.col("id") % 2).alias("block"), "obs", "width", "pred", ((F.col("y") == 1.0) | (F.col("p") > 0.8)).cast("double").alias("y"))
-    oof, w = Md.stacked_hazard(d, ["obs", "width", "pred"], "y", "block", "key")
-    a = S.auc(oof, "p_stat").select(F.lit("stacked").alias("learner"), "auc").unionByName(S.auc(oof, "p_forest").select(F.lit("forest").alias("learner"), "auc"))
-    return rnd(a, 3)
+    """The three learners on two blocks (the forest smaller than its default), scored out of fold, and steps of the boosted surface against its sign."""
+    d = B.scored(spark, sf).select((F.col("id") * 10 + F.col("line")).alias("key"), (F.col("id") % 2).alias("block"), "obs", "width", "pred", (F.col("width") + 1.0).alias("weight"), ((F.col("y") == 1.0) | (F.col("p") > 0.8)).cast("double").alias("y"))
+    features = ["obs", "width", "pred"]
+    oof, final = Md.stacked_hazard(d, features, "y", "block", "key", weight="weight", increasing=["pred"], trees={"numTrees": 50, "maxDepth": 10})
+    oof = oof.withColumns({"p_glm": E.cloglog_inverse("link_glm"), "p_gbm": E.cloglog_inverse("link_gbm")})
+    # the surface over the values of the rows themselves, along the feature with a sign
+    ladder = d.agg(F.array_distinct(F.percentile_approx("pred", [i / 50 for i in range(51)]))).scalar()
+    grid = d.select("obs", "width").distinct().select("obs", "width", F.concat_ws("|", "obs", "width").alias("key"), F.explode(ladder).alias("pred"))
+    surface = boosting.predict(grid, [final["gbm"]], features, "p")
+    steps = Md.monotone_violations(surface, "key", "pred", "p").agg(F.sum("violations")).first()[0]
+    n, whole = oof.count(), bool(abs(final["weights"].sum() - 1) < 1e-9)
+    rows = [(x, n, bool(S.auc(oof, p).first()[0] > 0.55), int(steps), whole) for x, p in (("glm", "p_glm"), ("gbm", "p_gbm"), ("forest", "p_forest"), ("stacked", "p_stat"))]
+    return spark.createDataFrame(rows, "learner string, n bigint, better_than_chance boolean, violations bigint, weights_sum_to_one boolean")
 
 
 @query("agg_monotone_audit", with_sql(B.SCORED, """SELECT part, count(*) FILTER (WHERE d < 0) AS violations, count(d) AS steps FROM (SELECT part, m - lag(m) OVER (PARTITION BY part ORDER BY obs) AS d FROM (SELECT part, obs, round(avg(pred), 9) AS m FROM sc GROUP BY 1, 2)) GROUP BY 1"""))
