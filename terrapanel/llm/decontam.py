@@ -10,11 +10,14 @@ from __future__ import annotations
 import re
 import uuid
 from collections import defaultdict
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrapanel.llm.common import map_texts
+from terrapanel.llm.common import map_texts, stored
 
 SHARE = 0.1  # edits per character of an item
 SHORTEST = 20  # normalised characters; shorter items say too little to be looked for
@@ -159,6 +162,19 @@ def matcher(key: str, items: list[tuple[list[int], str]], share: float) -> Match
     return _MATCHERS[key]
 
 
+def _blocks(benchmark: DataFrame, share: float, shortest: int, block_chars: int, with_ids: bool = True) -> Iterator[Broadcast]:
+    """Broadcasts of [(ids, normalised text)] with about ``block_chars`` characters each; a text that many rows hold is grouped in Spark first."""
+    items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
+    ids = F.collect_set(F.col("item_id").cast("bigint")) if with_ids else F.array(F.min(F.col("item_id").cast("bigint")))
+    items = stored(items.groupBy("text").agg(ids.alias("ids")).withColumn("size", F.length("text") + 8 * F.size("ids")))
+    blocks = max(1, -(-(items.agg(F.sum("size")).first()[0] or 0) // block_chars))
+    for b in range(blocks):
+        own = defaultdict(set)
+        for r in items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).collect():
+            own[normalise(r.text)].update(r.ids)
+        yield benchmark.sparkSession.sparkContext.broadcast([(sorted(i), text) for text, i in sorted(own.items()) if len(text) >= max(1, shortest)])
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, shortest: int = SHORTEST, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, item_id, distance, start, end: every item that a text holds within its error budget, once per row of ``docs``.
 
@@ -168,15 +184,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, shortest:
     rows are searched each, other columns are ignored. The items are sent to the tasks in blocks of bounded size, with a
     pass over the documents for each.
     """
-    items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("bigint").alias("item_id"), "text")
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // block_chars))
     out = None
-    for b in range(blocks):
-        own = defaultdict(set)
-        for r in items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).collect():  # about block_chars characters
-            own[normalise(r.text)].add(r.item_id)
-        sent = docs.sparkSession.sparkContext.broadcast([(sorted(ids), text) for text, ids in sorted(own.items()) if len(text) >= max(1, shortest)])
+    for sent in _blocks(benchmark, share, shortest, block_chars):
 
         def search(ids: list, texts: list, sent=sent, key=uuid.uuid4().hex) -> dict:
             own = matcher(key, sent.value, share)
@@ -188,7 +197,18 @@ def hits(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, shortest:
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text holds no item; rows with a null doc_id stay, for they can't be told apart."""
-    found = hits(docs, benchmark).select(F.col("doc_id")).where("doc_id is not null").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+def clean(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``docs`` whose text holds no item. Every row is judged by its own text, whatever its doc_id; null and empty texts stay."""
+    schema = docs.schema
+    place = schema.fieldNames().index("text")
+    kept = docs
+    for sent in _blocks(benchmark, share, SHORTEST, block_chars, with_ids=False):
+
+        def keep(batches, sent=sent, key=uuid.uuid4().hex):
+            for batch in batches:
+                own = matcher(key, sent.value, share)
+                texts = batch.column(place).to_pylist()
+                yield batch.filter(pa.array([not (t and own.patterns and own.find(normalise(t))) for t in texts], pa.bool_()))
+
+        kept = kept.mapInArrow(keep, schema)
+    return kept

@@ -88,6 +88,13 @@ def test_decontamination(odd, none, spark):
     assert kept.columns == odd.columns and kept.count() == odd.count() - 4
     assert decontam.hits(none, benchmark(spark)).count() == 0 and decontam.hits(odd, benchmark(spark).limit(0)).count() == 0
     assert decontam.hits(odd, benchmark(spark), block_chars=20).count() == 4
+    assert decontam.clean(odd, benchmark(spark), block_chars=20).count() == odd.count() - 4 and decontam.clean(none, benchmark(spark)).count() == 0
+    # every row is judged by its own text: rows without an id, and rows that share one
+    long = "the cat sat on a mat and the dog lay by the door"
+    rows = spark.createDataFrame([(None, long), (5, long), (5, "another text that is clean"), (None, "clean"), (None, None)], "doc_id bigint, text string")
+    assert sorted((r.doc_id or 0, r.text or "") for r in decontam.clean(rows, benchmark(spark)).collect()) == [(0, ""), (0, "clean"), (5, "another text that is clean")]
+    many = spark.createDataFrame([(i, long + " at night") for i in range(500)], "item_id bigint, text string")
+    assert decontam.clean(rows, many, block_chars=1000).count() == 5 and decontam.hits(rows.limit(2).withColumn("text", F.lit(long + " at night")), many).count() == 1000
 
 
 def test_toxicity(odd, none):
