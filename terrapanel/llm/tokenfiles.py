@@ -27,7 +27,7 @@ SCHEMA = "part int, first bigint, doc_id bigint, n_tokens bigint, ids array<int>
 SLICE = 500_000  # characters encoded at a time
 CACHED = 16_000_000  # characters of pre-tokens that a worker keeps
 LONG = 64  # longer pre-tokens are not kept
-OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "1000", "orc.stripe.size": str(2**26), "compression": "zstd"}
+OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "1000", "orc.stripe.size": str(2**26), "compression": "lz4"}
 
 
 def unsettled() -> re.Pattern:
