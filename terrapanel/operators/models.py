@@ -368,7 +368,7 @@ def fit_logistic(df: DataFrame, features: Sequence[str], y: str, by: str | None
             step = np.linalg.solve(hess, np.array([r[f"g{i}"] for i in range(k)]) - pen @ beta[r["_g"]])
             beta[r["_g"]] = beta[r["_g"]] + step
             moved = max(moved, float(np.max(np.abs(step))))
-        if moved < tol:
+        if moved < tol * max(1.0, *(float(np.max(np.abs(b))) for b in beta.values())):
             return beta
     raise RuntimeError(f"no logistic fit within {max_iter} rounds: the last step was {moved:.2g}")
 
@@ -401,13 +401,13 @@ def calibration(df: DataFrame, p: str, y: str, eps: float = 1e-6) -> tuple[float
     return float(b[1]), float(b[0])
 
 
-def humidity_offset(days: DataFrame, key: str, t_min: str, target: str, steps: int = 60) -> DataFrame:
-    """Offset k per key with mean saturation vapour pressure of (t_min - k) equal to the target, by bisection.
+def humidity_offset(days: DataFrame, keys: Sequence[str], t_min: str, target: str, steps: int = 60) -> DataFrame:
+    """Offset k per series with mean saturation vapour pressure of (t_min - k) equal to the target, by bisection.
 
-    A key holds one year of days, folded inside the row.
+    A series holds one year of days, folded inside the row.
     """
     from terrapanel.functions.weather import saturation_vp
-    g = days.groupBy(key).agg(F.collect_list(t_min).alias("_t"), F.first(target).alias("_target"))
+    g = days.groupBy(*keys).agg(F.collect_list(t_min).alias("_t"), F.first(target).alias("_target"))
     start = F.struct(F.lit(-10.0).alias("lo"), F.lit(40.0).alias("hi"))
 
     def step(acc, _):
@@ -417,7 +417,7 @@ def humidity_offset(days: DataFrame, key: str, t_min: str, target: str, steps: i
         return F.struct(F.when(high, mid).otherwise(acc["lo"]).alias("lo"), F.when(high, acc["hi"]).otherwise(mid).alias("hi"))
 
     f = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)
-    return g.select(key, f.alias("_f")).select(key, ((F.col("_f.lo") + F.col("_f.hi")) * 0.5).alias("k"))
+    return g.select(*keys, f.alias("_f")).select(*keys, ((F.col("_f.lo") + F.col("_f.hi")) * 0.5).alias("k"))
 
 
 def fit_variogram(bins: Sequence[tuple[float, float]]) -> dict:

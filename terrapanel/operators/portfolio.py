@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Sequence
 
@@ -184,10 +185,15 @@ class Portfolio:
     def objective(self, b: np.ndarray, lam: float, alpha: float) -> float:
         return float((1 - lam) * self.w @ b + lam * _envelope(b, self.w, alpha) @ b)
 
-    def solve(self, budget: float, lam: float = 0.5, alpha: float = 0.8, share: float = 1.0, rounds: int = 6, grid: int = 12) -> dict:
-        """Plan table and figures for one budget; ``share`` below 1 caps every group's part of the planted area."""
+    def solve(self, budget: float, lam: float = 0.5, alpha: float = 0.8, share: float = 1.0, tol: float = 1e-3, patience: int = 3, grid: int = 12) -> dict:
+        """Plan table and figures for one budget; ``share`` below 1 caps every group's part of the planted area.
+
+        Rounds end when the gap between the bound and the best plan is below ``tol``, or has not shrunk by that much in ``patience``
+        rounds (so there are at most patience / tol of them).
+        """
         q, nu, bound, best = self.w.copy(), {g: 0.0 for g in self.groups} if share < 1.0 else {}, math.inf, None
-        for t in range(rounds):
+        least, still = math.inf, 0
+        for t in itertools.count():
             value = (1 - lam) * self.w + lam * q
             lo, hi = 0.0, self.top_price
             pick = None
@@ -209,6 +215,10 @@ class Portfolio:
                 best = (score, value.copy(), pick["price"], dict(nu))
             elif best is None or best[0] == -math.inf:
                 best = (-math.inf, value.copy(), pick["price"], dict(nu))
+            gap = (bound - best[0]) / bound if bound > 0 and math.isfinite(best[0]) else math.inf
+            least, still = (gap, 0) if gap < least - tol else (least, still + 1)
+            if gap <= tol or still >= patience:
+                break
             step = 2.0 / (t + 3.0)
             q = (1 - step) * q + step * _envelope(pick["b"], self.w, alpha)
             if nu:

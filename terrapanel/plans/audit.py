@@ -17,7 +17,7 @@ from terrapanel.operators.splits import block_folds
 from terrapanel.tables import cut_lineage
 
 
-def forest_out_of_fold(df: DataFrame, features: Sequence[str], y: str, fold: str, trees: int = 10, depth: int = 5, seed: int = 42) -> DataFrame:
+def forest_out_of_fold(df: DataFrame, features: Sequence[str], y: str, fold: str, trees: int = 200, depth: int = 15, seed: int = 42) -> DataFrame:
     """Rows with the prediction of a forest fitted on the other folds (folds are a handful)."""
     d = cut_lineage(df)
     parts = []
@@ -28,8 +28,8 @@ def forest_out_of_fold(df: DataFrame, features: Sequence[str], y: str, fold: str
     return reduce(DataFrame.unionByName, parts)
 
 
-def location_audit(df: DataFrame, key: str, x: str, y: str, features: Sequence[str], target: str, block_sizes: Sequence[float], seed: int = 0, k: int = 5) -> DataFrame:
-    """Long table (check, subject, value): R2 of the features and of the coordinates alone under random and blocked
+def location_audit(df: DataFrame, key: str, x: str, y: str, features: Sequence[str], target: str, block_sizes: Sequence[float], seed: int = 0, k: int = 5, **forest: int) -> DataFrame:
+    """Long table (check, subject, value): R2 and mean absolute error of the features and of the coordinates alone under random and blocked
     folds, R2 of predicting each coordinate from the features, and the correlation with the nearest neighbour."""
     d = cut_lineage(df.select(key, x, y, target, *[F.col(f).cast("double").alias(f) for f in features]))
     rows = []
@@ -37,10 +37,10 @@ def location_audit(df: DataFrame, key: str, x: str, y: str, features: Sequence[s
     designs += [(f"block_{b:g}", block_folds(d, x, y, b, k, seed)) for b in block_sizes]
     for name, folded in designs:
         for label, cols in (("features", list(features)), ("coordinates", [x, y])):
-            r = regression_scores(forest_out_of_fold(folded, cols, target, "fold"), "prediction", target).first()
-            rows.append((f"{name}_r2", label, r["r2"]))
+            r = regression_scores(forest_out_of_fold(folded, cols, target, "fold", **forest), "prediction", target).first()
+            rows += [(f"{name}_r2", label, r["r2"]), (f"{name}_mae", label, r["mae"])]
     for c in (x, y):
-        r = regression_scores(forest_out_of_fold(designs[0][1], list(features), c, "fold"), "prediction", c).first()
+        r = regression_scores(forest_out_of_fold(designs[0][1], list(features), c, "fold", **forest), "prediction", c).first()
         rows.append(("features_predict_location_r2", c, r["r2"]))
     nn = knn(d.withColumnRenamed(key, "_n"), d.withColumnRenamed(key, "_t"), 1, "_n", "_t", (x, y), exclude="id")
     near = d.select(F.col(key).alias("_n"), *[F.col(c).alias(f"n_{c}") for c in (target, *features)])

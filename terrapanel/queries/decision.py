@@ -91,14 +91,14 @@ def top_portfolio(spark, sf):
 
 @query("top_frontier")
 def top_frontier(spark, sf):
-    """Mean against tail at three settings, with the bound and gap of each plan."""
-    plans, _ = Pf.frontier(portfolio(spark, sf), budget(spark, sf, 0.3), (0.0, 0.5, 1.0), rounds=4)
+    """Mean against tail at six settings, with the bound and gap of each plan."""
+    plans, _ = Pf.frontier(portfolio(spark, sf), budget(spark, sf, 0.3))
     return rnd(figures(spark, plans), 3)
 
 
 @query("top_budget_sweep")
 def top_budget_sweep(spark, sf):
-    """Three budgets without a cap and one with a cap on the share of any group."""
+    """Five budgets without a cap and one with a cap on the share of any group."""
     p = portfolio(spark, sf)
-    r = Pf.budget_sweep(p, [budget(spark, sf, s) for s in (0.1, 0.3, 0.6)], rounds=3)
-    return rnd(figures(spark, r + Pf.budget_sweep(p, [budget(spark, sf, 0.3)], (0.5,), rounds=4)), 3)
+    r = Pf.budget_sweep(p, [budget(spark, sf, s) for s in (0.05, 0.1, 0.2, 0.3, 0.6)])
+    return rnd(figures(spark, r + Pf.budget_sweep(p, [budget(spark, sf, 0.3)], (0.5,))), 3)

@@ -182,7 +182,7 @@ def agg_monotone_audit(spark, sf):
 def mdl_cv_audit(spark, sf):
     """Random against blocked cross-validation of a forest, location-proxy scores and the nearest-neighbour correlation."""
     from terrapanel.plans.audit import location_audit
-    return rnd(location_audit(B.points(spark, sf), "point", "x", "y", ["z", "grp"], "v", (900.0,), 1, 3), 2)
+    return rnd(location_audit(B.points(spark, sf), "point", "x", "y", ["z", "grp"], "v", (900.0,), 1, 3, trees=20, depth=8), 2)
 
 
 # ---- niche -------------------------------------------------------------------------------------------------------
@@ -253,16 +253,16 @@ def mdl_calibration(spark, sf):
     return rnd(spark.createDataFrame([Md.calibration(d, "q", "o")], "slope double, intercept double"), 4)
 
 
-OB = ["ol AS (SELECT node, list(t_min) AS l, avg(0.4 + rh / 400.0) AS target FROM node_day GROUP BY 1)",
-      f"""ob AS (SELECT node, l, target, 0 AS i, CAST(-10 AS DOUBLE) AS lo, CAST(40 AS DOUBLE) AS hi FROM ol UNION ALL SELECT node, l, target, i + 1, CASE WHEN m > target THEN mid ELSE lo END, CASE WHEN m > target THEN hi ELSE mid END FROM (
+OB = ["ol AS (SELECT node, year, list(t_min) AS l, avg(0.4 + rh / 400.0) AS target FROM node_day GROUP BY 1, 2)",
+      f"""ob AS (SELECT node, year, l, target, 0 AS i, CAST(-10 AS DOUBLE) AS lo, CAST(40 AS DOUBLE) AS hi FROM ol UNION ALL SELECT node, year, l, target, i + 1, CASE WHEN m > target THEN mid ELSE lo END, CASE WHEN m > target THEN hi ELSE mid END FROM (
         SELECT *, (lo + hi) / 2 AS mid, list_avg(list_transform(l, lambda t: {C.es('t - (lo + hi) / 2')})) AS m FROM ob WHERE i < 60))"""]
 
 
-@query("mdl_offset_bisection", with_sql(B.NODE_DAY + OB, f"SELECT node, {q6('(lo + hi) / 2')} AS k FROM ob WHERE i = 60"))
+@query("mdl_offset_bisection", with_sql(B.NODE_DAY + OB, f"SELECT node, year, {q6('(lo + hi) / 2')} AS k FROM ob WHERE i = 60"))
 def mdl_offset_bisection(spark, sf):
     d = B.node_day(spark, sf)
-    t = d.groupBy("node").agg(F.avg(F.col("rh") / 400.0 + 0.4).alias("target"))
-    return rnd(Md.humidity_offset(d.join(t, "node"), "node", "t_min", "target"))
+    t = d.groupBy("node", "year").agg(F.avg(F.col("rh") / 400.0 + 0.4).alias("target"))
+    return rnd(Md.humidity_offset(d.join(t, ["node", "year"]), ["node", "year"], "t_min", "target"))
 
 
 @query("mdl_variogram_fit")

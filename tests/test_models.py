@@ -114,7 +114,7 @@ def test_portfolio_is_feasible_and_bounded(spark, share):
     U, J, C = b.shape
     p = portfolio.Portfolio(opt, ben)
     budget = float((cost.max(1) * area).sum() * 0.5)
-    r = p.solve(budget, 0.5, share=share, rounds=4)
+    r = p.solve(budget, 0.5, share=share)
     best = 0.0
     for pick in itertools.product(range(-1, J), repeat=U):
         c = sum(cost[u, j] * area[u] for u, j in enumerate(pick) if j >= 0)
@@ -161,5 +161,5 @@ def test_gate_and_location_audit(spark):
     assert [r["status"] for r in panel_gate(g, 3).collect()] == ["too_few_events_for_a_hazard_fit", "events_not_distinguishable_from_noise", "fit"]
     x, y = RNG.uniform(0, 100, 300), RNG.uniform(0, 100, 300)
     d = frame(spark, key=np.arange(300), x=x, y=y, f=RNG.normal(size=300), v=np.sin(x / 10) + np.cos(y / 10))
-    r = {(q["check"], q["subject"]): q["value"] for q in audit.location_audit(d, "key", "x", "y", ["f"], "v", (50.0,), k=2).collect()}
+    r = {(q["check"], q["subject"]): q["value"] for q in audit.location_audit(d, "key", "x", "y", ["f"], "v", (50.0,), k=2, trees=10, depth=5).collect()}
     assert r[("random_r2", "coordinates")] > r[("random_r2", "features")] and r[("nearest_neighbour_correlation", "v")] > 0.5
