@@ -133,7 +133,7 @@ def accuracies(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> t
 
 
 def posterior(patterns: np.ndarray, prior: float, table: np.ndarray) -> np.ndarray:
-    """P(good | votes). Doubtful votes count for little: the labellers overlap, so the exponent shares their weight."""
+    """P(good | votes), the labellers taken as independent; a labeller that is often wrong counts for little."""
     j = np.arange(patterns.shape[1])
     log = np.log(table[j, 1, patterns]) - np.log(table[j, 0, patterns])
     return 1 / (1 + np.exp(-np.clip(log.sum(axis=1) + np.log(prior / (1 - prior)), -30, 30)))
