@@ -368,7 +368,7 @@ def fit_logistic(df: DataFrame, features: Sequence[str], y: str, by: str | None
             step = np.linalg.solve(hess, np.array([r[f"g{i}"] for i in range(k)]) - pen @ beta[r["_g"]])
             beta[r["_g"]] = beta[r["_g"]] + step
             moved = max(moved, float(np.max(np.abs(step))))
-        if moved < tol * max(1.0, *(float(np.max(np.abs(b))) for b in beta.values())):
+        if moved < tol * max([1.0, *(float(np.max(np.abs(b))) for b in beta.values())]):
             return beta
     raise RuntimeError(f"no logistic fit within {max_iter} rounds: the last step was {moved:.2g}")
 

@@ -12,17 +12,18 @@ from terrapanel.functions.ecology import treeline_elevation
 from terrapanel.operators.windows import season_indices
 
 
-def treeline_shift(node_day: DataFrame, deltas: DataFrame, keys: Sequence[str], members: Sequence[str], z_ref: Column, gamma: Column) -> DataFrame:
-    """Treeline under each member minus the baseline treeline: (node, members..., shift).
+def treeline_shift(node_day: DataFrame, deltas: DataFrame, keys: Sequence[str], members: Sequence[str], z_ref: Column, gamma: Column,
+                   series: Sequence[str] = ("node", "year")) -> DataFrame:
+    """Treeline under each member minus the baseline treeline of the same node and year: (node, year, members..., shift).
 
     ``deltas`` holds the additive change ``dt`` per key and member; days are joined and reduced to the season mean
     in one pass per member.
     """
-    base = season_indices(node_day, ["node"]).select("node", treeline_elevation("gst", z_ref, gamma).alias("_base"))
+    base = season_indices(node_day, series).select(*series, treeline_elevation("gst", z_ref, gamma).alias("_base"))
     moved = node_day.join(deltas, list(keys)).withColumn("t_mean", F.col("t_mean") + F.col("dt"))
-    m = season_indices(moved, ["node", *members])
-    m = m.select("node", *members, treeline_elevation("gst", z_ref, gamma).alias("_tl"))
-    return m.join(base, "node").select("node", *members, (F.col("_tl") - F.col("_base")).alias("shift"))
+    m = season_indices(moved, [*series, *members])
+    m = m.select(*series, *members, treeline_elevation("gst", z_ref, gamma).alias("_tl"))
+    return m.join(base, list(series)).select(*series, *members, (F.col("_tl") - F.col("_base")).alias("shift"))
 
 
 def finished_members(spark: SparkSession, path: str, factors: Sequence[str]) -> DataFrame | None:

@@ -98,15 +98,15 @@ def agg_worst20(spark, sf):
 
 
 @query("agg_treeline_shift", with_sql(B.NODE_DAY + ["dl AS (SELECT CAST(c_nationkey AS BIGINT) AS nk, o_orderpriority AS gcm, avg(o_totalprice) / 100000.0 AS dt FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)",
-    "g0 AS (SELECT node, avg(t_mean) FILTER (WHERE t_mean >= 0.9) AS g FROM node_day GROUP BY 1)",
-    "g1 AS (SELECT node, gcm, avg(t_mean + dt) FILTER (WHERE t_mean + dt >= 0.9) AS g FROM node_day JOIN dl ON nk = node % 25 GROUP BY 1, 2)"],
-    f"SELECT node, gcm, {q6('(6.45 - g1.g) / -0.0055 - (6.45 - g0.g) / -0.0055', 5)} AS shift FROM g1 JOIN g0 USING (node)"))
+    "g0 AS (SELECT node, year, avg(t_mean) FILTER (WHERE t_mean >= 0.9) AS g FROM node_day GROUP BY 1, 2)",
+    "g1 AS (SELECT node, year, gcm, avg(t_mean + dt) FILTER (WHERE t_mean + dt >= 0.9) AS g FROM node_day JOIN dl ON nk = node % 25 GROUP BY 1, 2, 3)"],
+    f"SELECT node, year, gcm, {q6('(6.45 - g1.g) / -0.0055 - (6.45 - g0.g) / -0.0055', 5)} AS shift FROM g1 JOIN g0 USING (node, year)"))
 def agg_treeline_shift(spark, sf):
-    """Treeline of each member minus the baseline treeline, per node."""
+    """Treeline of each member minus the baseline treeline, per node and year."""
     from terrapanel.plans.scenario import treeline_shift
     o = B.table(spark, sf, "orders").join(B.table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     d = o.groupBy(F.col("c_nationkey").cast("bigint").alias("nk"), F.col("o_orderpriority").alias("gcm")).agg((F.avg("o_totalprice") / 100000.0).alias("dt"))
-    nd = B.node_day(spark, sf).select("node", "doy", "t_mean", (F.col("node") % 25).alias("nk"))
+    nd = B.node_day(spark, sf).select("node", "year", "doy", "t_mean", (F.col("node") % 25).alias("nk"))
     return rnd(treeline_shift(nd, d, ["nk"], ["gcm"], z_ref=F.lit(800.0), gamma=F.lit(-0.0055)), 5)
 
 
