@@ -12,6 +12,7 @@ import os
 import re
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterable
 from itertools import accumulate
 
@@ -26,6 +27,7 @@ from terrapanel.llm.common import slices
 SCHEMA = "part int, first bigint, doc_id bigint, n_tokens bigint, ids array<int>"
 SLICE = 500_000  # characters encoded at a time
 CACHED = 16_000_000  # characters of pre-tokens that a worker keeps
+CONTROLS = "\x1c\x1d\x1e\x1f"
 LONG = 64  # longer pre-tokens are not kept
 OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "1000", "orc.stripe.size": str(2**26), "compression": "lz4"}
 
@@ -74,16 +76,17 @@ class Encoder:
         """Ids of pre-tokens by the library. Words with a space in front stay apart when they are put together, so they are one call."""
         words = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
         made = self.tokenizer.encode("".join(words), add_special_tokens=False)
-        ids = np.asarray(made.ids, "<u4").tobytes()
-        ends = [*np.flatnonzero(np.diff(np.asarray(made.word_ids, np.int64), prepend=-1)).tolist(), len(ids) // 4]
+        ids, word = array("I", made.ids).tobytes(), np.asarray(made.word_ids, np.int32)
+        ends = [0, *(np.flatnonzero(word[1:] != word[:-1]) + 1).tolist(), len(word)] if words else [0]
         coded = {w: ids[4 * a : 4 * b] for w, a, b in zip(words, ends[:-1], ends[1:], strict=True)}
         others = [p for p in pieces if p not in coded]
-        coded.update((p, np.asarray(e.ids, "<u4").tobytes()) for p, e in zip(others, self.tokenizer.encode_batch(others, add_special_tokens=False), strict=True))
+        coded.update((p, array("I", e.ids).tobytes()) for p, e in zip(others, self.tokenizer.encode_batch(others, add_special_tokens=False), strict=True))
         return coded
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        if not self.split or self.odd.search(text) or any(a in text for a in self.added):
+        unsure = any(c in text for c in CONTROLS) if text.isascii() else self.odd.search(text)
+        if not self.split or unsure or any(a in text for a in self.added):
             return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         parts = self.find(text)
         out = list(map(self.known.get, parts))

@@ -72,6 +72,12 @@ def test_cache_is_bounded_by_characters(monkeypatch, library):
         assert own.size == sum(map(len, own.known)) <= 100 and sum(map(len, own.older)) <= 100
 
 
+def test_control_characters_and_lone_pieces(library):
+    own = tokenfiles.Encoder(open(PATH, encoding="utf-8").read(), public_tokenizers.PATTERN)
+    for text in ("", " ", "a\x1cb \x1f c", "\n\n", "!", " a", "a", "a  b\t\tc \u3000 d", "x" * 500, "it's\u2019s 12² ½"):
+        assert own.encode(text) == np.asarray(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def kinds(spark, file):
     """Kinds of the streams in the first stripe's footer, and the encodings of its columns, as ORC's own reader sees them."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
