@@ -36,31 +36,61 @@ def sub_points(pixels: DataFrame, x0: float, y0: float, res: float, n: int = 3)
         (F.lit(y0) - F.col("row") * res - F.col("_o.oy")).alias("sy"))
 
 
-def _box_pass(df: DataFrame, axis: str, other: str, radius: int, sums: Sequence[str], lo: Column, hi: Column,
-              repeat_edges: bool) -> DataFrame:
-    """Each cell adds its sums to the 2r+1 positions around it along one axis; partial sums combine before the shuffle.
+def _line_sums(tiles: DataFrame, axis: str, other: str, radius: int, sums: Sequence[str], first: Column, last: Column) -> DataFrame:
+    """Sums over the 2r+1 positions around every position of ``axis`` from ``first`` to ``last``, inside the tiles of ``box_sums``.
 
-    With ``repeat_edges`` the first and last line also stand in for the lines that would lie outside.
+    A window of 2r+1 positions is the end of one aligned block of that length and the start of the next, so two running
+    sums per block give every window with one addition and nothing is ever subtracted: a huge, infinite or NaN value
+    spoils the windows that hold it and no others.
     """
-    a = F.col(axis)
-    spread = df.select("*", F.explode(F.sequence(F.greatest(a - radius, lo), F.least(a + radius, hi))).alias("_to"))
-    w = F.lit(1)
-    if repeat_edges:
-        below = F.when(a == lo, F.greatest(lo - (F.col("_to") - radius), F.lit(0))).otherwise(0)
-        above = F.when(a == hi, F.greatest(F.col("_to") + radius - hi, F.lit(0))).otherwise(0)
-        w = w + below + above
-    return spread.groupBy(F.col("_to").alias(axis), other).agg(*[F.sum(F.col(s) * w).alias(s) for s in sums])
+    width = 2 * radius + 1
+    a, begin = F.col(axis), F.col("_block") * width
+    block = W.partitionBy("_tr", "_tc", other, "_block")
+    up, down = block.orderBy(axis), block.orderBy(F.desc(axis))
+    runs = tiles.withColumn("_block", F.floor(a / width)).select(
+        "_tr", "_tc", other, axis, "_block",
+        (F.coalesce(F.lead(axis).over(up), begin + width) - 1).alias("_until"), (F.coalesce(F.lag(axis).over(up) + 1, begin)).alias("_since"),
+        *[F.sum(c).over(up.rowsBetween(W.unboundedPreceding, 0)).alias(f"_up_{c}") for c in sums],
+        *[F.sum(c).over(down.rowsBetween(W.unboundedPreceding, 0)).alias(f"_down_{c}") for c in sums])
+
+    def part(kind, lo, hi):
+        return F.struct(lo.alias("lo"), hi.alias("hi"), *[F.col(f"_{kind}_{c}").alias(c) for c in sums])
+
+    # the start of a block up to p is the right part of the window around p - r; its end from p on the left part of that around
+    # p + r, except from the first position on, where the whole block is the window and the other half has it already
+    halves = F.array(part("up", a - radius, F.col("_until") - radius),
+                     part("down", F.greatest(F.col("_since"), begin + 1) + radius, a + radius))
+    h = runs.select("_tr", "_tc", other, F.explode(halves).alias("_h"), first.alias("_first"), last.alias("_last"))
+    lo, hi = F.greatest("_h.lo", "_first"), F.least("_h.hi", "_last")
+    h = h.select("_tr", "_tc", other, F.explode(F.when(lo <= hi, F.sequence(lo, hi))).alias(axis), *[F.col(f"_h.{c}").alias(c) for c in sums])
+    return h.groupBy("_tr", "_tc", axis, other).agg(*[F.sum(c).alias(c) for c in sums])
 
 
 def box_sums(raster: DataFrame, radius: int, sums: dict[str, Column], repeat_edges: bool = False) -> DataFrame:
-    """Sums over the (2r+1) x (2r+1) window of every cell, as two one-dimensional passes (2 x (2r+1) copies
-    instead of (2r+1)^2). Without ``repeat_edges`` the window is truncated at the edges."""
-    base = raster.groupBy("row", "col").agg(*[F.sum(e).alias(n) for n, e in sums.items()])
+    """Sums over the (2r+1) x (2r+1) window of every cell of the lattice that has a cell in its window.
+
+    Cells are dealt to square tiles of 16 r cells a side (64 at least) with a halo of r, about 1.27 copies of a cell at most; rows and
+    then columns are summed inside the tile, so tiles cost one shuffle whatever the radius. Without ``repeat_edges`` the
+    window is truncated at the edges; with it the first and last lines also stand in for the r lines outside. Rows of
+    one cell add up; a cell without row or column is left out; an empty table gives none.
+    """
+    names, side = list(sums), max(16 * radius, 64)
+    base = raster.groupBy(F.col("row").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col")).agg(*[F.sum(e).alias(n) for n, e in sums.items()])
     # the lattice spans every row and column of the table, with or without a value
-    bound = lambda f, c: raster.agg(f(c)).scalar()
-    names = list(sums)
-    one = _box_pass(base, "row", "col", radius, names, bound(F.min, "row"), bound(F.max, "row"), repeat_edges)
-    return _box_pass(one, "col", "row", radius, names, bound(F.min, "col"), bound(F.max, "col"), repeat_edges)
+    ends = {c: (raster.agg(F.min(c).cast("bigint")).scalar(), raster.agg(F.max(c).cast("bigint")).scalar()) for c in ("row", "col")}
+    if repeat_edges:
+        for c, (lo, hi) in ends.items():
+            x = F.col(c)
+            reach = F.sequence(F.when(x == lo, x - radius).otherwise(x), F.when(x == hi, x + radius).otherwise(x))
+            base = base.withColumn(c, F.explode(reach))
+    for c, t in (("row", "_tr"), ("col", "_tc")):
+        near = F.sequence(F.floor((F.col(c) - radius) / side), F.floor((F.col(c) + radius) / side))
+        base = base.withColumn(t, F.explode(near))
+    out = base.repartition("_tr", "_tc")
+    for axis, other, t in (("row", "col", "_tr"), ("col", "row", "_tc")):
+        lo, hi = ends[axis]
+        out = _line_sums(out, axis, other, radius, names, F.greatest(lo, F.col(t) * side), F.least(hi, F.col(t) * side + side - 1))
+    return out.select("row", "col", *names)
 
 
 def window_mean(raster: DataFrame, radius: int, out: str = "mean", value: str = "value",
