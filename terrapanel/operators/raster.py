@@ -75,6 +75,7 @@ def box_sums(raster: DataFrame, radius: int, sums: dict[str, Column], repeat_edg
     one cell add up; a cell without row or column is left out; an empty table gives none.
     """
     names, side = list(sums), max(16 * radius, 64)
+    raster = raster.filter(F.col("row").isNotNull() & F.col("col").isNotNull())
     base = raster.groupBy(F.col("row").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col")).agg(*[F.sum(e).alias(n) for n, e in sums.items()])
     # the lattice spans every row and column of the table, with or without a value
     ends = {c: (raster.agg(F.min(c).cast("bigint")).scalar(), raster.agg(F.max(c).cast("bigint")).scalar()) for c in ("row", "col")}
@@ -84,7 +85,8 @@ def box_sums(raster: DataFrame, radius: int, sums: dict[str, Column], repeat_edg
             reach = F.sequence(F.when(x == lo, x - radius).otherwise(x), F.when(x == hi, x + radius).otherwise(x))
             base = base.withColumn(c, F.explode(reach))
     for c, t in (("row", "_tr"), ("col", "_tc")):
-        near = F.sequence(F.floor((F.col(c) - radius) / side), F.floor((F.col(c) + radius) / side))
+        lo, hi = ends[c]
+        near = F.sequence(F.greatest(F.floor((F.col(c) - radius) / side), F.floor(lo / side)), F.least(F.floor((F.col(c) + radius) / side), F.floor(hi / side)))
         base = base.withColumn(t, F.explode(near))
     out = base.repartition("_tr", "_tc")
     for axis, other, t in (("row", "col", "_tr"), ("col", "row", "_tc")):
