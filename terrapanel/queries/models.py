@@ -206,6 +206,47 @@ def mdl_presence_background(spark, sf):
     return rnd(m.select("species", "status", "n_presence", "intercept", F.col("coef")[0].alias("slope")), 5)
 
 
+def _sig(b0, b1, x):
+    return f"1 / (1 + exp(-({b0}) - ({b1}) * {x}))"
+
+
+BB = ["bp AS (SELECT species, f0 AS x, lon, lat, 1.0 AS y FROM occ WHERE f1 > 1.5 AND lat IS NOT NULL)",
+      "bf AS (SELECT species FROM bp GROUP BY 1 HAVING count(*) >= 25)",
+      "bo AS (SELECT * FROM bp WHERE species IN (SELECT species FROM bf) UNION ALL SELECT NULL, f0, lon, lat, 0.0 FROM occ WHERE f2 >= 40 AND lat IS NOT NULL)",
+      "bg AS (SELECT *, CAST(floor((lon - (SELECT min(lon) FROM bo)) / 0.5) * 100000 + floor((lat - (SELECT min(lat) FROM bo)) / 0.5) AS BIGINT) AS block FROM bo)",
+      f"bd AS (SELECT block, (row_number() OVER (ORDER BY {B.mix_sql('block')} * 1048576 + block % 1048576) - 1) % 5 AS own FROM (SELECT DISTINCT block FROM bg))",
+      "bq AS (SELECT f.species, x, y, own FROM bg JOIN bd USING (block) JOIN bf f ON bg.species = f.species OR bg.species IS NULL)",
+      "bt AS (SELECT species, fold, x, y FROM bq, (SELECT unnest(range(0, 5)) AS fold) WHERE fold <> own)",
+      "bu AS (SELECT species, fold, p, b, n_test FROM (SELECT species, fold, count(*) FILTER (WHERE y = 1) AS p, count(*) FILTER (WHERE y = 0) AS b FROM bt GROUP BY 1, 2) JOIN (SELECT species, own AS fold, count(*) FILTER (WHERE y = 1) AS n_test FROM bq GROUP BY 1, 2) USING (species, fold) WHERE p >= 5 AND b >= 5 AND n_test >= 3)",
+      # one predictor of fifty values: equal rows are counted, so a step runs over a short list
+      "bl AS (SELECT species, fold, list({'x': x, 'y': CAST(y AS DOUBLE), 'w': c * (p + b) / (2.0 * CASE WHEN y = 1 THEN p ELSE b END)}) AS l FROM (SELECT species, fold, x, y, count(*) AS c FROM bt GROUP BY 1, 2, 3, 4) JOIN bu USING (species, fold) GROUP BY 1, 2)",
+      f"""bn AS (SELECT species, fold, l, 0 AS i, CAST(0 AS DOUBLE) AS b0, CAST(0 AS DOUBLE) AS b1 FROM bl UNION ALL
+        SELECT species, fold, l, i + 1, b0 + ((h11 + 1.0) * g0 - h01 * (g1 - b1)) / (h00 * (h11 + 1.0) - h01 * h01), b1 + (h00 * (g1 - b1) - h01 * g0) / (h00 * (h11 + 1.0) - h01 * h01) FROM (
+        SELECT species, fold, l, i, b0, b1, {_ls('r.w * (r.y - ' + _sig('b0', 'b1', 'r.x') + ')')} AS g0, {_ls('r.x * r.w * (r.y - ' + _sig('b0', 'b1', 'r.x') + ')')} AS g1,
+        {_ls('r.w * (' + _sig('b0', 'b1', 'r.x') + ') * (1 - ' + _sig('b0', 'b1', 'r.x') + ')')} AS h00, {_ls('r.x * r.w * (' + _sig('b0', 'b1', 'r.x') + ') * (1 - ' + _sig('b0', 'b1', 'r.x') + ')')} AS h01,
+        {_ls('r.x * r.x * r.w * (' + _sig('b0', 'b1', 'r.x') + ') * (1 - ' + _sig('b0', 'b1', 'r.x') + ')')} AS h11 FROM bn WHERE i < 12))""",
+      f"bs AS (SELECT q.species, q.own AS fold, round({_sig('b0', 'b1', 'q.x')}, 9) AS score, q.y = 1 AS pres FROM bq q JOIN bn ON bn.species = q.species AND bn.fold = q.own AND bn.i = 12)",
+      "be AS (SELECT species, fold, min(score) AS lo, max(score) - min(score) AS sp, count(*) AS na, count(*) FILTER (WHERE pres) AS np FROM bs GROUP BY 1, 2)",
+      "bw AS (SELECT species, fold, w, lo + w * (sp * (1.0 - 0.1) / 99) AS s, sp * 0.1 AS wd, na, np FROM be, range(0, 100) r(w))",
+      "br AS (SELECT b.species, b.fold, w, (count(*) FILTER (WHERE pres) / any_value(np)) / (count(*) / any_value(na)) AS ratio FROM bw b JOIN bs ON bs.species = b.species AND bs.fold = b.fold AND score >= s AND score <= s + wd GROUP BY 1, 2, 3)",
+      "bk AS (SELECT species, fold, w, rank() OVER (PARTITION BY species, fold ORDER BY ratio) + (count(*) OVER (PARTITION BY species, fold, ratio) - 1) / 2.0 AS rr FROM br)",
+      "bx AS (SELECT species, fold, CASE WHEN count(*) >= 3 AND var_pop(rr) > 0 THEN corr(w, rr) END AS boyce FROM bk GROUP BY 1, 2)"]
+
+
+@query("mdl_blocked_boyce", with_sql(B.OCCURRENCES + BB, f"SELECT species, CAST(fold AS BIGINT) AS fold, p + b AS n_train, n_test, {q6('boyce', 5)} AS boyce FROM bu LEFT JOIN bx USING (species, fold)"))
+def mdl_blocked_boyce(spark, sf):
+    """The niche models validated on blocks of half a degree: five folds of every species fitted at once."""
+    o = B.occurrences(spark, sf)
+    return rnd(Ni.blocked_validation(o.filter(F.col("f1") > 1.5), o.filter(F.col("f2") >= 40), ["f0"], "lon", "lat", 0.5), 5)
+
+
+@query("mdl_blocked_boyce_mean", with_sql(B.OCCURRENCES + BB, f"SELECT species, {q6('avg(boyce)', 5)} AS boyce_mean, count(boyce) AS n_folds FROM bu LEFT JOIN bx USING (species, fold) GROUP BY 1"))
+def mdl_blocked_boyce_mean(spark, sf):
+    """What the quality gate of a species reads: the mean over its folds."""
+    o = B.occurrences(spark, sf)
+    return rnd(Ni.mean_boyce(Ni.blocked_validation(o.filter(F.col("f1") > 1.5), o.filter(F.col("f2") >= 40), ["f0"], "lon", "lat", 0.5)), 5)
+
+
 NA = ["nd AS (SELECT node, max(v) / 20.0 AS bio, sum(greatest(t_mean, 0.0)) / 30.0 AS gdd, max(rh) / 60.0 AS vpd, avg(t_mean) AS t FROM node_day GROUP BY 1)",
       "mm AS (SELECT DISTINCT o_orderpriority AS member, CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) * 0.8 AS warming FROM orders)",
       "ns AS (SELECT node, member, warming, 1 / (1 + exp(-(-2.0 + 0.6 * (bio + 0.1 * warming) - 0.1 * gdd - 0.5 * vpd * " + C.es("t + warming") + " / " + C.es("t") + "))) AS s1, 1 / (1 + exp(-(-1.0 - 0.3 * (bio + 0.1 * warming) + 0.2 * gdd - 0.4 * vpd * " + C.es("t + warming") + " / " + C.es("t") + "))) AS s2 FROM nd, mm)"]
@@ -239,6 +280,24 @@ def mdl_aoa(spark, sf):
     return rnd(Md.area_of_applicability(s, B.points(spark, sf), ["v", "z", "x"], "node", "point", "fold"))
 
 
+PLANT = ("broadleaf", "oak", "pine")
+
+
+def _group_aoa(g: int) -> str:
+    parts = [f"sts AS (SELECT * FROM sts_all WHERE node % 3 = {g})", *AOA]
+    enough = "(SELECT count(*) >= 20 AND count(DISTINCT node % 4) >= 2 FROM sts)"
+    return (f"SELECT * FROM (WITH {', '.join(parts)} SELECT '{PLANT[g]}' AS grp, point, CASE WHEN {enough} THEN {q6('pn.d / db.d')} END AS di, "
+            f"CASE WHEN {enough} THEN {q6('t')} END AS threshold, {enough} AND coalesce(pn.d / db.d <= t, false) AS inside FROM pts JOIN pn USING (point), db, th)")
+
+
+@query("mdl_group_aoa", with_sql(B.POINTS + [B.STATIONS[0].replace("sts AS", "sts_all AS", 1)], " UNION ALL ".join(_group_aoa(g) for g in range(3))))
+def mdl_group_aoa(spark, sf):
+    """The area of applicability of every plant group from its own nodes; a group with fewer than 20 covers nothing."""
+    s = B.stations(spark, sf).withColumn("fold", F.col("node") % 4)
+    parts = [Md.group_applicability(s.filter(F.col("node") % 3 == g), B.points(spark, sf), ["v", "z", "x"], "node", "point", "fold").select(F.lit(PLANT[g]).alias("grp"), "point", "di", "threshold", "inside") for g in range(3)]
+    return rnd(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+
+
 # ---- calibration, offsets, variogram -----------------------------------------------------------------------------------
 
 CA = ["ca AS (SELECT list({'x': ln(q / (1 - q)), 'y': y, 'n': n}) AS l FROM (SELECT least(greatest(width / 2 + 0.2, 1e-6), 1 - 1e-6) AS q, CASE WHEN p < width * 5 THEN 1.0 ELSE 0.0 END AS y, count(*) AS n FROM sc GROUP BY 1, 2))",

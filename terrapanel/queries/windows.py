@@ -178,6 +178,63 @@ def agg_sensitivity_sweep(spark, sf):
     return rnd(per.groupBy("r.param", "r.val").agg(F.avg("r.f").alias("late_frost_days")))
 
 
+# ---- the other half of the node job: seasonal factors, season indices, daily potential ------------------------
+
+FACTORS = ["""fx AS (SELECT node, CASE WHEN doy > 365 THEN 365 ELSE doy END AS day, avg(rn) AS a, avg(u2) AS b, avg(rh) AS c FROM node_day GROUP BY 1, 2)""",
+           """fm AS (SELECT node, avg(a) AS a, avg(b) AS b, avg(c) AS c FROM fx GROUP BY 1)""",
+           """fac AS (SELECT node, day, fx.a / fm.a AS f_rn, fx.b / fm.b AS f_wind, fx.c / fm.c AS f_ea FROM fx JOIN fm USING (node))"""]
+
+
+def job_factors(spark, sf):
+    """Mean radiation, wind and humidity of a node's calendar day over its mean of all days."""
+    d = B.node_day(spark, sf).groupBy("node", F.least("doy", F.lit(365)).alias("doy")).agg(F.avg("rn").alias("a"), F.avg("u2").alias("b"), F.avg("rh").alias("c"))
+    m = d.groupBy("node").agg(F.avg("a").alias("ma"), F.avg("b").alias("mb"), F.avg("c").alias("mc"))
+    return d.join(m, "node").select("node", "doy", (F.col("a") / F.col("ma")).alias("f_rn"), (F.col("b") / F.col("mb")).alias("f_wind"), (F.col("c") / F.col("mc")).alias("f_ea"))
+
+
+FJOB = DAY + B.NODES + B.MONTHS + FACTORS + [
+    f"""fnd AS (SELECT node, year, doy, month, t_mean, t_max, t_min, p, n, rn * f_rn AS rn, u2 * f_wind AS u2, {C.EA} * f_ea AS ea
+        FROM node_day JOIN fac ON fac.node = node_day.node AND fac.day = least(doy, 365))""".replace("SELECT node,", "SELECT node_day.node,")]
+FWX = [f"""wx AS (SELECT node, year, doy, rn AS rnet, u2, t_mean + gamma * (z - z_ref) AS t_mean, t_max + gamma * (z - z_ref) AS t_max,
+        t_min + gamma * (z - z_ref) - greatest(concavity, 0.0) * calm AS t_min, greatest(p * exp(grad * (z - z_ref)), 0.0) AS p,
+        {C.es(f"{C.TD.replace(C.EA, 'ea')} - 0.002 * (z - z_ref)")} AS ea, {C.PRES} AS pres
+        FROM fnd JOIN nodes USING (node) JOIN months USING (month))"""]
+FIDX = [f"wcum AS (SELECT *, sum(greatest(t_mean - 5.0, 0.0)) OVER ({P_}) AS gdd_cum, avg(t_mean) OVER ({P_} ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING) AS rm FROM wx)",
+        "wwarm AS (SELECT node, year, min(doy) AS warmest FROM (SELECT node, year, doy, rm, max(rm) OVER (PARTITION BY node, year) AS mx FROM wcum) WHERE rm = mx GROUP BY node, year)"]
+LAI = [("broadleaf", 4.5), ("oak", 3.5), ("pine", 3.0)]
+LAI_SQL = "CASE node % 3 WHEN 0 THEN 4.5 WHEN 1 THEN 3.5 ELSE 3.0 END"
+FVD = f"greatest({C.es('t_mean + 0.45 * (t_max - t_mean)')} - ea, 0.0)"
+FGC = f"(0.006 * exp(-0.8 * {FVD}) * {LAI_SQL})"
+FPET = [f"""wpet AS (SELECT node, year, doy, liquid, unnest(['pm_fao56', 'priestley_taylor', 'energy_only', 'canopy_pm']) AS pet_name, unnest([
+        (0.408 * {SL} * rnet + 0.000665 * pres * (900.0 / (t_mean + 273.0)) * u2 * ({C.es('t_mean')} - ea)) / ({SL} + 0.000665 * pres * (1.0 + 0.34 * u2)),
+        1.26 * {SL} / ({SL} + 0.000665 * pres) * rnet / 2.45, rnet / 2.45,
+        ({SL} * rnet + pres / (1.01 * (t_mean + 273.0) * 0.287) * {C.d(1.013e-3 * 86400)} * {FVD} * 0.02) / ({SL} + 0.000665 * pres * (1.0 + 0.02 / {FGC})) / 2.45]) AS pet FROM wsn)""",
+        """win0 AS (SELECT node, year, pet_name, doy, row_number() OVER (PARTITION BY node, year, pet_name ORDER BY doy) AS rn, pet, liquid,
+        (theta_fc - theta_lim) * CASE node % 3 WHEN 0 THEN 120.0 WHEN 1 THEN 150.0 ELSE 90.0 END AS w_max FROM wpet JOIN soilp USING (node))"""]
+
+
+@query("job_node_indices", with_sql(FJOB + FWX + FIDX, f"""SELECT node, year, {q6('avg(t_mean)')} AS t_mean, {q6('sum(p)')} AS p_sum, {q6('sum(greatest(t_mean - 5.0, 0.0))')} AS gdd, count(*) FILTER (WHERE t_mean >= 0.9) AS gsl,
+    {q6('avg(t_mean) FILTER (WHERE t_mean >= 0.9)')} AS gst, count(*) FILTER (WHERE gdd_cum >= 20.0 AND t_min < -2.0 AND doy <= warmest) AS late_frost_days FROM wcum JOIN wwarm USING (node, year) GROUP BY node, year"""))
+def job_node_indices(spark, sf):
+    """Season, frost and annual means of the downscaled weather."""
+    return rnd(WB.node_indices(job_weather(spark, sf, job_factors(spark, sf)), F.lit(20.0)))
+
+
+@query("job_node_potential", with_sql(FJOB + C.SOIL + FWX + WSNOW + FPET + bucket_sql("win0", "node, year, pet_name"), f"""SELECT node, year, {bi('doy')} AS doy, pet_name, {q6('w', 4)} AS w,
+    {q6('psi_sat * pow(greatest(theta_lim + (theta_fc - theta_lim) * w / bk.w_max, 1e-6) / theta_sat, -b)', 4)} AS psi_soil
+    FROM bk JOIN win0 USING (node, year, pet_name, rn) JOIN soilp USING (node)"""))
+def job_node_potential(spark, sf):
+    """Daily soil water potential under seasonal factors and all four forms of evaporation; leaf area and depth follow a node's group."""
+    cap, soil = job_capacity(spark, sf)
+    kind = F.element_at(F.array(*[F.lit(g) for g, _ in LAI]), (F.col("node") % 3 + 1).cast("int"))
+    snow = scans.snowpack(job_weather(spark, sf, job_factors(spark, sf)).withColumn("grp", kind), SERIES)
+    lai = spark.createDataFrame(D.lai_by_group(dict(LAI)), "grp string, lai double, status string")
+    g_c = X.canopy_conductance(F.lit(0.006), F.col("vpd_day"), F.col("lai"), 0.8)
+    pet = D.derive_pet(D.leaf_area(snow, lai), 0.0, F.lit(0.02), g_c, keep=("liquid", "grp"))
+    d = scans.soil_bucket_daily(pet.join(cap.select("node", "grp", "w_max"), ["node", "grp"]), [*SERIES, "pet_name"])
+    return rnd(WB.soil_potential_daily(d, soil).select("node", "year", "doy", "pet_name", "w", "psi_soil"), 4)
+
+
 # ---- failure index ---------------------------------------------------------------------------------------
 
 FIN = [f"""fin AS (SELECT node, year, doy, t_max, -0.3 - CASE WHEN n = 0 THEN 2.0 ELSE 2.0 / n END + v / 400.0 AS psi_soil, 86400.0 * 3.0 * pow(1.2, (least(t_max, 38.0) - 25.0) / 10.0) * pow(4.8, greatest(t_max - 38.0, 0.0) / 10.0)

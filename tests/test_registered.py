@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 #: Their passes over the data take minutes at any size; tests of their operators are elsewhere.
 LONG = {"mdl_gbm_rf"}
-NAMES = sorted(n for n in entry.oracle_sql() if n.startswith(("src_", "snk_", "jn_", "mdl_", "agg_failure", "agg_treeline", "agg_nn", "spl_")) and n not in LONG)
+NAMES = sorted(n for n in entry.oracle_sql() if n.startswith(("src_", "snk_", "jn_", "mdl_", "job_", "agg_failure", "agg_treeline", "agg_nn", "spl_")) and n not in LONG)
 
 
 @pytest.fixture(scope="module")
