@@ -194,6 +194,18 @@ def top_best_analogue(spark, sf):
     return rnd(analogue(spark, sf).select("point", "node", "dist"))
 
 
+@query("jn_analogue_own", with_sql(B.POINTS + B.STATIONS + FEAT[:2] + [
+    """mo AS (SELECT point, node, (f.a - s.a) * (f.a - s.a) / (1.0 + node % 3) + (f.b - s.b) * (f.b - s.b) / (1.0 + node % 4) + (f.c - s.c) * (f.c - s.c) / (1.0 + node % 2) AS d2 FROM fe f, fs s)"""],
+    f"SELECT point, arg_min(node, d2) AS node, {q6('sqrt(min(d2))')} AS dist FROM mo GROUP BY point"))
+def jn_analogue_own(spark, sf):
+    """The nearest analogue where every station has a spread of its own."""
+    f = lambda t, key: t.select(key, (F.col("v") / 1000.0).alias("a"), (F.col("z") / 500.0).alias("b"), (F.col("x") / 2000.0).alias("c"))
+    spread = [(F.col("node") % m + 1).cast("double") for m in (3, 4, 2)]
+    diagonal = lambda e: F.array(*[e(spread[i]) if i == j else F.lit(0.0) for i in range(3) for j in range(3)])
+    ref = f(B.stations(spark, sf), "node").select("*", diagonal(lambda v: v).alias("cov"), diagonal(lambda v: F.lit(1.0) / v).alias("inv"))
+    return rnd(A.analogue_own_covariance(f(B.points(spark, sf), "point"), ref, ["a", "b", "c"], "point", "node").select("point", "node", "dist"))
+
+
 @query("agg_novelty", with_sql(B.POINTS + B.STATIONS + FEAT + ["d AS (SELECT point, min(d2) AS d2 FROM md GROUP BY point)"],
     f"""SELECT point, {q6('CASE WHEN d2 <= 0 THEN 0.0 WHEN d2 > 120 THEN 1.0 ELSE list_sum(list_transform(range(0, 400), lambda n: exp((1.5 + n) * ln(d2 / 2.0) - d2 / 2.0 - lgamma(2.5 + n)))) END')} AS novelty FROM d"""))
 def agg_novelty(spark, sf):
