@@ -10,18 +10,22 @@ from pyspark.sql import functions as F
 
 from terrapanel.functions.hydraulics import curve_slope
 from terrapanel.operators.order_stats import average_ranks, exact_quantiles, with_average_rank
+from terrapanel.tables import cut_lineage, small
 
 
-def boyce_windows(scores: DataFrame, score: str, presence: str, by: Sequence[str] = (), n: int = 100, width: float = 0.1) -> DataFrame:
+def boyce_windows(scores: DataFrame, score: str, presence: str, by: Sequence[str] = (), n: int = 100, width: float = 0.1, count: str | None = None) -> DataFrame:
     """Predicted-to-expected ratio per sliding window (inclusive at both ends) of each group.
 
     A score lies in a contiguous run of windows: its first and last are found by arithmetic and checked against the
-    window's own ends, and rows are counted per window before the shuffle.
+    window's own ends, and rows are counted per window before the shuffle. A row stands for ``count`` equal ones where that is given.
+    The ends of the groups (a row each) are broadcast, so the scores of a few large groups are never moved or sorted.
     """
     by = list(by)
-    ends = F.struct(F.min(score).alias("lo"), F.max(score).alias("hi"), F.count(F.lit(1)).alias("na"), F.sum(F.col(presence).cast("int")).alias("np")).alias("_e")
+    c = F.lit(1) if count is None else F.col(count)
+    present = F.sum(F.col(presence).cast("int") * c)
+    ends = F.struct(F.min(score).alias("lo"), F.max(score).alias("hi"), F.sum(c).alias("na"), present.alias("np")).alias("_e")
     if by:
-        d = scores.join(scores.groupBy(*by).agg(ends), by)
+        d = scores.join(small(cut_lineage(scores.groupBy(*by).agg(ends))), by)
     else:
         d = scores.withColumn("_e", scores.agg(ends).scalar())
     lo, span = F.col("_e.lo"), F.col("_e.hi") - F.col("_e.lo")
@@ -33,15 +37,16 @@ def boyce_windows(scores: DataFrame, score: str, presence: str, by: Sequence[str
     d = d.select("*", F.explode(F.sequence(first, last)).alias("w"))
     start = lo + F.col("w") * step
     d = d.filter((F.col(score) >= start) & (F.col(score) <= start + span * width))
-    g = d.groupBy(*by, "w").agg(F.sum(F.col(presence).cast("int")).alias("p"), F.count(F.lit(1)).alias("a"), F.first("_e").alias("_e"))
-    ratio = (F.col("p") / F.col("_e.np")) / (F.col("a") / F.col("_e.na"))
+    # numbers only: with a struct among them the aggregate would sort all copies of the rows
+    g = d.groupBy(*by, "w").agg(present.alias("p"), F.sum(c).alias("a"), F.max("_e.np").alias("_np"), F.max("_e.na").alias("_na"))
+    ratio = (F.col("p") / F.col("_np")) / (F.col("a") / F.col("_na"))
     return g.select(*by, "w", ratio.alias("ratio"))
 
 
-def boyce_index(scores: DataFrame, score: str, presence: str, by: Sequence[str] = (), n: int = 100, width: float = 0.1) -> DataFrame:
+def boyce_index(scores: DataFrame, score: str, presence: str, by: Sequence[str] = (), n: int = 100, width: float = 0.1, count: str | None = None) -> DataFrame:
     """Rank correlation of the ratio with the window position (at most ``n`` windows per group); null below three windows."""
     by = list(by)
-    r = boyce_windows(scores, score, presence, by, n, width)
+    r = boyce_windows(scores, score, presence, by, n, width, count)
     part = by or [F.lit(0)]
     for c, o in (("w", "_rw"), ("ratio", "_rr")):
         ties = F.count(F.lit(1)).over(W.partitionBy(*part, c))
