@@ -13,6 +13,7 @@ from terrapanel.operators.filters import quality_gate
 from terrapanel.operators.models import fit_logistic
 from terrapanel.operators.niche import boyce_index, group_support
 from terrapanel.operators.splits import block_folds
+from terrapanel.tables import cut_lineage, small
 
 
 def apply_niche(nodes: DataFrame, models: DataFrame, features: Sequence[str], keys: Sequence[str], min_boyce: float = 0.30) -> DataFrame:
@@ -38,7 +39,7 @@ def blocked_validation(occ: DataFrame, background: DataFrame, features: Sequence
 
     Presences and the shared background are cut into blocks of ``size`` degrees on one grid, so a fold is the same place for all species.
     Every (species, fold) is one group of one balanced ridge fit: all of them move together, one aggregate per round, and the driver
-    sees their sums only. A record trains k - 1 folds (k copies) and is scored by the fold it lies in; scores are rounded to nine places,
+    sees their sums only. Equal records are counted before they are copied; one trains k - 1 folds and is scored by the fold it lies in; scores are rounded to nine places,
     so that no window of the index hangs on the last bit of a fit. A species with fewer than ``minimum`` complete records has no row, a fold
     with too few training records of a kind or too few presences to score has none either; an index of fewer than three windows is null.
     Records without a place or a predictor are left out.
@@ -49,26 +50,27 @@ def blocked_validation(occ: DataFrame, background: DataFrame, features: Sequence
     fit = pres.groupBy(species).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= minimum).select(species)
     both = pres.join(fit, species, "left_semi").withColumn("_y", F.lit(1.0)).unionByName(
         background.filter(whole).select(F.lit(None).cast(dict(occ.dtypes)[species]).alias(species), *cols, F.lit(0.0).alias("_y")))
-    placed = block_folds(both, x, y, size, k, seed).select(species, *features, "_y", F.col("fold").alias("_own"))
+    placed = block_folds(both, x, y, size, k, seed).groupBy(species, *features, "_y", F.col("fold").alias("_own")).agg(F.count(F.lit(1)).alias("_c"))
     names = fit.agg(F.sort_array(F.collect_set(species))).scalar()
-    placed = placed.withColumn(species, F.explode(F.when(F.col(species).isNull(), names).otherwise(F.array(species))))
+    # written once; its true size is known from here on, where an estimate from the files would broadcast the copies
+    placed = cut_lineage(placed).withColumn(species, F.explode(F.when(F.col(species).isNull(), names).otherwise(F.array(species))))
     folds = F.explode(F.sequence(F.lit(0), F.lit(k - 1)).cast("array<bigint>")).alias("fold")
     train = placed.select("*", folds).filter(F.col("fold") != F.col("_own")).drop("_own")
-    size_of = train.groupBy(species, "fold").agg(F.count_if(F.col("_y") == 1).alias("_p"), F.count_if(F.col("_y") == 0).alias("_b"))
+    size_of = train.groupBy(species, "fold").agg(F.sum(F.when(F.col("_y") == 1, F.col("_c")).otherwise(0)).alias("_p"), F.sum(F.when(F.col("_y") == 0, F.col("_c")).otherwise(0)).alias("_b"))
     test = placed.withColumnRenamed("_own", "fold")
-    tested = test.groupBy(species, "fold").agg(F.count_if(F.col("_y") == 1).alias("n_test"))
-    use = size_of.filter((F.col("_p") >= train_minimum) & (F.col("_b") >= train_minimum)).join(
-        tested.filter(F.col("n_test") >= test_minimum), [species, "fold"])
+    tested = test.groupBy(species, "fold").agg(F.sum(F.when(F.col("_y") == 1, F.col("_c")).otherwise(0)).alias("n_test"))
+    use = cut_lineage(size_of.filter((F.col("_p") >= train_minimum) & (F.col("_b") >= train_minimum)).join(
+        tested.filter(F.col("n_test") >= test_minimum), [species, "fold"]))
     name = F.to_json(F.struct(F.col(species), F.col("fold")))
-    d = train.join(use, [species, "fold"]).withColumn("_m", name)
-    weight = (F.col("_p") + F.col("_b")) / (F.when(F.col("_y") == 1, F.col("_p")).otherwise(F.col("_b")) * 2.0)
+    d = train.join(small(use), [species, "fold"]).withColumn("_m", name)
+    weight = F.col("_c") * (F.col("_p") + F.col("_b")) / (F.when(F.col("_y") == 1, F.col("_p")).otherwise(F.col("_b")) * 2.0)
     beta = fit_logistic(d, features, "_y", "_m", weight, 1.0 / C)
     models = occ.sparkSession.createDataFrame([(g, [float(v) for v in b]) for g, b in beta.items()], "_m string, _coef array<double>")
     z = F.col("_coef")[0]
     for i, f in enumerate(features):
         z = z + F.col("_coef")[i + 1] * F.col(f)
-    scored = test.withColumn("_m", name).join(models, "_m").select(species, "fold", F.round(logistic(z), 9).alias("_s"), (F.col("_y") == 1).alias("_pres"))
-    b = boyce_index(scored, "_s", "_pres", [species, "fold"])
+    scored = test.withColumn("_m", name).join(small(models), "_m").select(species, "fold", F.round(logistic(z), 9).alias("_s"), (F.col("_y") == 1).alias("_pres"), "_c")
+    b = boyce_index(scored, "_s", "_pres", [species, "fold"], count="_c")
     return use.join(b.select(species, "fold", "boyce"), [species, "fold"], "left").select(
         species, "fold", (F.col("_p") + F.col("_b")).alias("n_train"), "n_test", "boyce")
 
