@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrapanel.tables import by_keys
 from terrapanel.functions.numeric import col
 from terrapanel.operators.raster import raster_index
 
@@ -94,13 +95,14 @@ def niche_units(units: DataFrame, niche: DataFrame, keys: Sequence[str]) -> Data
 def cell_lookup(points: DataFrame, cells: DataFrame, point_id: str, cell_id: str, dlat: float, dlon: float) -> DataFrame:
     """Lowest-numbered cell whose closed rectangle (centred on the cell's lat, lon) holds the point; null when none does.
 
-    Cells and points are keyed by blocks of the cell size; a point reads the 3 x 3 blocks its cell's centre can lie in.
+    Points and cells are reduced to places first (the lowest cell of a place). Both are keyed by blocks of the cell size; a place reads the
+    3 x 3 blocks its cell's centre can lie in.
     """
     blk = lambda a, b: (F.floor(col(a) / dlat), F.floor(col(b) / dlon))
     ci, cj = blk("lat", "lon")
-    c = cells.select(F.col(cell_id).alias("_cell"), F.col("lat").alias("_a"), F.col("lon").alias("_o"), ci.alias("_i"), cj.alias("_j"))
+    c = cells.groupBy("lat", "lon").agg(F.min(cell_id).alias("_cell")).select("_cell", F.col("lat").alias("_a"), F.col("lon").alias("_o"), ci.alias("_i"), cj.alias("_j"))
     around = F.explode(F.array(*[F.struct((ci + i).alias("i"), (cj + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("_b")
-    p = points.select(point_id, "lat", "lon", around).select(point_id, "lat", "lon", F.col("_b.i").alias("_i"), F.col("_b.j").alias("_j"))
+    p = points.select("lat", "lon").distinct().select("lat", "lon", around).select("lat", "lon", F.col("_b.i").alias("_i"), F.col("_b.j").alias("_j"))
     hit = (F.abs(F.col("lat") - F.col("_a")) <= dlat / 2) & (F.abs(F.col("lon") - F.col("_o")) <= dlon / 2)
-    best = p.join(c, ["_i", "_j"]).filter(hit).groupBy(point_id).agg(F.min("_cell").alias(cell_id))
-    return points.select(point_id).join(best, point_id, "left")
+    best = by_keys(p, "_i", "_j").join(by_keys(c, "_i", "_j"), ["_i", "_j"]).filter(hit).groupBy("lat", "lon").agg(F.min("_cell").alias(cell_id))
+    return points.select(point_id, "lat", "lon").join(best, ["lat", "lon"], "left").select(point_id, cell_id)
