@@ -12,6 +12,7 @@ from terrapanel.plans import derive as D
 from terrapanel.queries import base as B
 from terrapanel.queries import columns as C
 from terrapanel.queries import windows as QW
+from terrapanel.tables import by_keys
 from terrapanel.queries.base import bi, q6, query, rnd, with_sql
 
 
@@ -60,7 +61,7 @@ def flt_in_cell(spark, sf):
     p = B.pixels(spark, sf).select("pixel", F.col("lat").alias("lat0"), F.col("lon").alias("lon0"))
     p = p.select("*", F.explode(F.sequence(F.floor((F.col("lat0") - half) / w), F.floor((F.col("lat0") + half) / w))).alias("i"))
     p = p.select("*", F.explode(F.sequence(F.floor((F.col("lon0") - half) / w), F.floor((F.col("lon0") + half) / w))).alias("j"))
-    return o.join(p, ["i", "j"]).filter(Fl.in_cell("lat", "lon", "lat0", "lon0", half)).select("rec", "pixel")
+    return by_keys(o, "i", "j").join(by_keys(p, "i", "j"), ["i", "j"]).filter(Fl.in_cell("lat", "lon", "lat0", "lon0", half)).select("rec", "pixel")
 
 
 @query("flt_reference_period", "SELECT o_orderkey AS id, year(o_orderdate) AS year FROM orders WHERE year(o_orderdate) BETWEEN 1996 AND 1999".replace("year(o_orderdate) AS year", "CAST(year(o_orderdate) AS BIGINT) AS year"))
