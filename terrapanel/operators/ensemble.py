@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from terrapanel.operators.joins import factorial_levels
 from terrapanel.operators.order_stats import quantile_columns
+from terrapanel.tables import cut_lineage
 
 
 def factorial_check(df: DataFrame, factors: Sequence[str], unit: str) -> DataFrame:
@@ -65,7 +66,12 @@ def three_way_fractions(df: DataFrame, keys: Sequence[str], factors: Sequence[st
 
 
 def partition_summary(fractions: DataFrame, names: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Median and quartiles of every fraction over the nodes, long: (by..., fraction, median, q25, q75)."""
+    """Median and quartiles of every fraction over the nodes, long: (by..., fraction, median, q25, q75).
+
+    The fractions are written once: they come out of sums of doubles, whose last bits follow the order of the rows, and the exact quantiles
+    read their values more than once, so a value that differs between two readings could change its bucket and the rank.
+    """
+    fractions = cut_lineage(fractions.select(*by, *names))
     rows = F.explode(F.array(*[F.struct(F.lit(n).alias("fraction"), F.col(n).alias("x")) for n in names])).alias("r")
     long = fractions.select(*by, rows).select(*by, F.col("r.fraction").alias("fraction"), F.col("r.x").alias("x"))
     return quantile_columns(long, "x", {"median": 0.5, "q25": 0.25, "q75": 0.75}, [*by, "fraction"])
