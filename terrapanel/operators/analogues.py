@@ -8,9 +8,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrapanel.functions.numeric import all_finite
 from terrapanel.functions.special import chi_square_cdf
-from terrapanel.operators.neighbours import knn
-from terrapanel.operators.spatial import range_pairs
+from terrapanel.operators.neighbours import LEAF, knn, planted, search
+from terrapanel.tables import cut_lineage
 
 
 def covariance(df: DataFrame, features: Sequence[str], ddof: int = 1) -> np.ndarray:
@@ -54,29 +55,32 @@ def nearest_analogue(targets: DataFrame, reference: DataFrame, features: Sequenc
 def analogue_own_covariance(targets: DataFrame, reference: DataFrame, features: Sequence[str], target_id: str, ref_id: str) -> DataFrame:
     """As above with each reference row's own covariance (columns ``cov`` and ``inv``, flat k x k arrays).
 
-    The metric differs per row, but d^2 >= |x - m|^2 / trace(cov). The Mahalanobis distance to the Euclidean nearest
-    row is an upper bound, so only rows within bound * sqrt(largest trace) can be nearer: a range join finds them.
+    The metric differs per row, but d^2 >= |x - m|^2 / trace(cov). So the least Mahalanobis distance to the rows of a target's own cell
+    bounds the search: only cells within bound * sqrt(largest trace) can hold a nearer row. Rows with a missing feature or metric take no part.
     """
-    k, names = len(features), list(features)
-    ref = reference.select(ref_id, *names, "inv")
+    k, d = len(features), [f"c{i}" for i in range(len(features))]
+    inverse = [f"i{i}" for i in range(k * k)]
+    coords = [F.col(f).cast("double").alias(c) for f, c in zip(features, d)]
     trace = sum((F.col("cov")[i * k + i] for i in range(1, k)), F.col("cov")[0])
-    widest = reference.agg(F.max(trace)).scalar()
-
-    def squared(x, m):
-        d2 = F.lit(0.0)
+    ref = reference.select(F.col(ref_id).alias("nid"), F.lit(0).cast("bigint").alias("fold"), *coords, *[F.col("inv")[i].cast("double").alias(c) for i, c in enumerate(inverse)], trace.alias("_trace"))
+    ref = cut_lineage(ref.where(all_finite([*d, *inverse, "_trace"])))
+    widest = ref.agg(F.max("_trace")).first()[0]
+    targets = targets.select(F.col(target_id).alias("tid"), *coords).where(all_finite(d))
+    places = cut_lineage(targets.select(*d).distinct().select(F.monotonically_increasing_id().alias("pid"), F.lit(0).cast("bigint").alias("fold"), F.lit(None).cast("double").alias("bound"), *d))
+
+    def squared(to, at, inv):
+        step = [x[:, None] - y[None, :] for x, y in zip(to, at)]
+        d2 = np.zeros(step[0].shape)
         for a in range(k):
             for b in range(k):
-                d2 = d2 + (F.col(x[a]) - F.col(m[a])) * (F.col(x[b]) - F.col(m[b])) * F.col("inv")[a * k + b]
-        return F.greatest(d2, F.lit(0.0))
-
-    moved = [f"_m{i}" for i in range(k)]
-    named = ref.select(ref_id, "inv", *[F.col(f).alias(m) for f, m in zip(names, moved)])
-    first = knn(reference, targets, 1, ref_id, target_id, names).join(named, ref_id).join(targets.select(target_id, *names), target_id)
-    first = first.select(target_id, *names, (F.sqrt(squared(names, moved) * widest) * (1 + 1e-9)).alias("_radius"))
-    near = range_pairs(first, named.withColumnsRenamed(dict(zip(moved[:2], ["_rx", "_ry"]))), "_radius", names[:2], ["_rx", "_ry"])
-    near = near.withColumn("_d2", squared(names, ["_rx", "_ry", *moved[2:]][:k]))
-    best = near.groupBy(target_id).agg(F.min(F.struct("_d2", ref_id)).alias("b"))
-    return best.select(target_id, F.col(f"b.{ref_id}").alias(ref_id), F.sqrt("b._d2").alias("dist"))
+                if inv[a * k + b].any():
+                    d2 += step[a] * step[b] * inv[a * k + b][None, :]
+        return np.maximum(d2, 0.0)
+
+    nodes, trees = planted(ref.drop("_trace"), k, LEAF)
+    near = search(places, nodes, trees, k, 1, False, dict(nodes.dtypes)["nid"], squared, inverse, float(widest or 0.0) * (1 + 1e-9))
+    best = targets.join(near.where(F.size("near") > 0), d).select("tid", F.col("near")[0].alias("b"))
+    return best.select(F.col("tid").alias(target_id), F.col("b.nid").alias(ref_id), F.sqrt("b.d2").alias("dist"))
 
 
 def novelty(df: DataFrame, dist: str, k: int, out: str = "novelty") -> DataFrame:
