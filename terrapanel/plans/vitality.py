@@ -43,6 +43,8 @@ def vitality_suite(panel: DataFrame, climate: Sequence[str], drought: str, year:
     """
     spark, anom = panel.sparkSession, [f"{c}_anom" for c in climate]
     main = f"{drought}_anom"
+    panel = cut_lineage(panel)  # the anomalies read it several times
+    hazard = None if hazard is None else cut_lineage(hazard)
     full = climate_anomaly(panel, "node", year, list(climate))
     d = cut_lineage(full.filter(~F.col("disturbed_recent") & all_finite(["z", *anom])))
     cl = ["node", year]
