@@ -19,12 +19,13 @@ from terrapanel.tables import cut_lineage
 
 def forest_out_of_fold(df: DataFrame, features: Sequence[str], y: str, fold: str, trees: int = 200, depth: int = 15, seed: int = 42) -> DataFrame:
     """Rows with the prediction of a forest fitted on the other folds (folds are a handful)."""
-    d = cut_lineage(df)
+    # one small file would be one task in every pass of the forests
+    d = cut_lineage(assembled(df.repartition(max(df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism)), features))
     parts = []
     for f in sorted(r[0] for r in d.select(fold).distinct().collect()):
         rf = RandomForestRegressor(labelCol=y, featuresCol="_features", numTrees=trees, maxDepth=depth, seed=seed)
-        model = rf.fit(assembled(d.filter(F.col(fold) != f), features))
-        parts.append(model.transform(assembled(d.filter(F.col(fold) == f), features)).drop("_features"))
+        model = rf.fit(d.filter(F.col(fold) != f))
+        parts.append(model.transform(d.filter(F.col(fold) == f)).drop("_features"))
     return reduce(DataFrame.unionByName, parts)
 
 
