@@ -50,3 +50,16 @@ def test_every_pair_once(spark):
     want = sorted((int(min(keys[a], keys[b])), int(max(keys[a], keys[b])), float(x)) for a, b, x in zip(i, j, dist) if x <= 10.0)
     assert sorted(map(tuple, d.collect())) == want
     assert "BroadcastHashJoin" not in plan(d)
+
+
+def test_pairs_of_one_crowded_cell_are_many_tasks(spark, monkeypatch):
+    """Pairs of a cell are its rows squared, so its rows are dealt; each pair comes once all the same."""
+    monkeypatch.setattr(spatial, "TOGETHER", 20)
+    rng = np.random.default_rng(6)
+    at = np.concatenate([rng.uniform(0, 4, (200, 2)), rng.uniform(-30, 30, (60, 2))])
+    d = spatial.own_pairs(spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(at)], "point long, x double, y double"), "point", 10.0)
+    i, j = np.triu_indices(len(at), 1)
+    dist = np.sqrt(((at[i] - at[j]) ** 2).sum(axis=1))
+    assert sorted((r["i"], r["j"]) for r in d.collect()) == [(a, b) for a, b, x in zip(i.tolist(), j.tolist(), dist) if x <= 10.0]
+    crowd = d.filter("i < 200 and j < 200").groupBy(F.spark_partition_id()).count().collect()
+    assert len(crowd) >= 4 and max(r["count"] for r in crowd) < 200 * 199 / 2 / 2
